@@ -251,16 +251,20 @@ def _founders(vectors: DataFrame, probes: DataFrame, reps: DataFrame, threshold:
 
 
 def group_items(
-    items: DataFrame, as_of: Column, options: GroupingOptions = GroupingOptions()
+    items: DataFrame,
+    as_of: Column,
+    options: GroupingOptions = GroupingOptions(),
+    stored: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Group a whole batch as if its items came one by one in the order (received_at, item_id).
 
     items: item_id, title, primary_topic, topics, observed_at, received_at. An item joins the most
     similar earlier founder that is inside the window at ``as_of`` and whose topic is among the
     item's, when the similarity reaches the threshold; else it founds an update under its own id.
-    All candidates in the window are compared, there is no cap.
+    All candidates in the window are compared, there is no cap. ``stored`` updates (update_id,
+    representative_title, primary_topic, last_observed_at) came before the batch and take part.
 
-    Returns (updates, links): updates with update_id, representative_title, primary_topic,
+    Returns (updates, links) of the batch: updates with update_id, representative_title, primary_topic,
     first_observed_at, last_observed_at; links with update_id, item_id, similarity.
     """
     t = options.merge_threshold
@@ -285,9 +289,27 @@ def group_items(
     )
     probe_blocks = materialize(probe_blocks.join(order, "id"))
     rep_blocks = materialize(rep_blocks.join(order, "id"))
-    founders = materialize(_founders(vectors, probe_blocks.where("seq IS NOT NULL"), rep_blocks, t))
+    probing = probe_blocks.where("seq IS NOT NULL")
+    known = None
+    if stored is not None:
+        known = materialize(_stored_vectors(stored, vectors, as_of, options))
+        known_blocks = materialize(
+            _block_entries(known, "rep", F.array("topic"), common, t).join(known.select("id", "seq"), "id")
+        )
+        vectors = vectors.unionByName(known)
+        order = vectors.select("id", "seq")
+        joins = _verified(_block_pairs(probing, known_blocks, t), vectors, t)
+        joins = materialize(joins.select(F.col("probe_id").alias("id")).distinct())
+        probing = probing.join(joins, "id", "left_anti")
+        rep_open = rep_blocks.join(joins, "id", "left_anti")
+    else:
+        rep_open = rep_blocks
+    founders = materialize(_founders(vectors, probing, rep_open, t))
 
     founding = rep_blocks.join(founders, "id", "left_semi")
+    if known is not None:
+        founding = founding.unionByName(known_blocks)
+        founders = founders.unionByName(known.select("id"))
     # Any item of a text may come before or after a founder, so compare without regard to order.
     free = probe_blocks.withColumn("seq", F.struct(F.lit("9999-12-31").cast("timestamp").alias("received_at"), F.lit(None).cast(base.schema["item_id"].dataType).alias("item_id")))
     pairs = _block_pairs(free, founding, t)
@@ -308,6 +330,24 @@ def group_items(
     return updates_from_links(links, items), links
 
 
+def _stored_vectors(stored: DataFrame, vectors: DataFrame, as_of: Column, options: GroupingOptions) -> DataFrame:
+    """Stored updates of the window as texts that precede every item."""
+    id_type = vectors.schema["seq"].dataType["item_id"].dataType
+    recent = stored.where(F.col("last_observed_at") >= window_start(as_of, options)).select(
+        F.concat(F.lit("stored:"), F.col("update_id").cast("string")).alias("id"),
+        F.struct(
+            F.lit("0001-01-01").cast("timestamp").alias("received_at"), F.col("update_id").cast(id_type).alias("item_id")
+        ).alias("seq"),
+        T.tokenize(representative_text(F.col("representative_title"), F.col("primary_topic"))).alias("_r"),
+        F.lower("primary_topic").alias("topic"),
+    )
+    counted = with_counts(recent, "_r", "rep").withColumn("rep_norm", squared_norm(F.col("rep")))
+    return counted.select(
+        "id", "seq", F.col("rep").alias("probe"), F.col("rep_norm").alias("probe_norm"), "rep", "rep_norm",
+        F.array("topic").alias("topics"), "topic",
+    )
+
+
 def _grouping_base(items: DataFrame, as_of: Column, options: GroupingOptions) -> DataFrame:
     keys = topic_keys(F.col("topics"), F.col("primary_topic"))
     shaped = items.select(

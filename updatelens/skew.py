@@ -17,15 +17,25 @@ def heaviest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counted.orderBy(F.col("_n").desc(), *keys).limit(HEAVY_KEYS).select(*keys)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the planner's size estimate, which starts from file sizes, allows a broadcast."""
+    spark = df.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, weight: str | None = None) -> DataFrame:
     """Left join ``rows`` to ``table``, which has one row per key.
 
-    Values of the heaviest keys reach the rows by a broadcast of at most ``HEAVY_KEYS`` rows; those
+    A table whose checked size allows it is broadcast. Otherwise the values of the heaviest keys reach the rows by a broadcast of at most ``HEAVY_KEYS`` rows; those
     rows then travel under a salt from ``spread`` so no task receives a whole hot key. All other
     keys use an ordinary shuffle join. ``weight`` names a column of ``table`` with the number of
     rows per key; without it the rows are counted.
     """
     values = [c for c in table.columns if c not in keys and c != weight]
+    if is_small(table):
+        return rows.join(F.broadcast(table.select(*keys, *values)), keys, "left").select(*rows.columns, *values)
     if weight is not None:
         heavy = table.orderBy(F.col(weight).desc(), *keys).limit(HEAVY_KEYS)
     else:
@@ -46,8 +56,11 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, w
 def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
     """Join many rows to several rows per key, spreading the heaviest keys of ``rows``.
 
-    Only the rows of ``other`` under a heavy key are repeated, once per salt.
+    Only the rows of ``other`` under a heavy key are repeated, once per salt. A small ``other``, by
+    its checked size, is broadcast instead.
     """
+    if is_small(other):
+        return rows.join(F.broadcast(other), keys, how)
     heavy = F.broadcast(heaviest(rows, keys).withColumn("_heavy", F.lit(True)))
     few = 32
     salt = (F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(few))).cast("int")
