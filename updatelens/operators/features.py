@@ -14,30 +14,38 @@ from updatelens.functions import text as T
 MATCH_SCHEMA = "array<struct<interest_id:string,strength:double>>"
 
 
-def with_counts(df: DataFrame, tokens: str, out: str) -> DataFrame:
-    """Add ``out``, an array of (token, tf) for the token array ``tokens``.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the planner copies the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Sorting the array brings equal tokens together; the start of each run gives token and count.
-    """
-    s, starts = F.col("_sorted"), F.col("_starts")
+
+def _run_starts(s: Column) -> Column:
     n = F.size(s)
-    run_starts = F.when(
-        n > 0,
-        F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))),
-    ).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(
-        starts,
-        lambda p, j: F.struct(
-            F.get(s, p).alias("token"),
-            (F.coalesce(F.get(starts, j + 1), n) - p).cast("bigint").alias("tf"),
-        ),
-    )
-    return (
-        df.withColumn("_sorted", F.sort_array(tokens))
-        .withColumn("_starts", run_starts)
-        .withColumn(out, runs)
-        .drop("_sorted", "_starts")
-    )
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    return F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))
+
+
+def token_counts(tokens: Column) -> Column:
+    """Array of (token, tf) of a token array.
+
+    Sorting brings equal tokens together; the start of each run gives the token, and the distance to
+    the next start its count.
+    """
+
+    def runs(s: Column, starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda p, j: F.struct(
+                F.get(s, p).alias("token"),
+                (F.coalesce(F.get(starts, j + 1), F.size(s)) - p).cast("bigint").alias("tf"),
+            ),
+        )
+
+    return _let(F.sort_array(tokens), lambda s: _let(_run_starts(s), lambda starts: runs(s, starts)))
+
+
+def with_counts(df: DataFrame, tokens: str, out: str) -> DataFrame:
+    return df.withColumn(out, token_counts(F.col(tokens)))
 
 
 def with_tokens(df: DataFrame, text: str | Column, out: str = "tokens") -> DataFrame:

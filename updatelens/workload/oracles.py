@@ -164,7 +164,7 @@ def _walk(rules: tuple[str, ...], order: str = "retrieved_at, item_id", source:
     keyless = " AND ".join(f"d_{r} IS NULL" for r in rules) or "true"
     first = f"coalesce({', '.join(f'f_{r}' for r in rules)})" if rules else "NULL::BIGINT"
     ranks = f", {ranks}" if ranks else ""
-    return f"""ordered AS (
+    return f"""ordered AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY {order}) AS n, item_id, epoch(retrieved_at) AS t,
     dense_rank() OVER (ORDER BY normalized_title) AS d_title{ranks} FROM {source}),
 walk AS (
@@ -186,7 +186,7 @@ def _groups(hours: int) -> str:
     cut = _trim("title")
     return f"""{COUNTS}, {RAW},
 tops AS (SELECT doc_id AS item_id, list(token ORDER BY r) AS topics FROM ranked WHERE r <= 3 GROUP BY 1),
-probes AS (
+probes AS MATERIALIZED (
   SELECT item_id, title, retrieved_at, coalesce(published_at, retrieved_at) AS observed_at,
     coalesce(topics, []) AS topics, coalesce(topics[1], 'general') AS topic,
     row_number() OVER (ORDER BY retrieved_at, item_id) AS n
@@ -210,7 +210,7 @@ sims AS (
   JOIN pn USING (item_id) JOIN rn ON rn.item_id = founder),
 edges AS (
   SELECT item_id, list({{'f': founder, 's': s}} ORDER BY s DESC, founder) AS e FROM sims WHERE s >= 0.78 GROUP BY 1),
-steps AS (SELECT p.n, p.item_id, coalesce(e, []) AS e FROM probes p LEFT JOIN edges USING (item_id)),
+steps AS MATERIALIZED (SELECT p.n, p.item_id, coalesce(e, []) AS e FROM probes p LEFT JOIN edges USING (item_id)),
 walk AS (
   SELECT 0::BIGINT AS n, NULL::BIGINT AS item_id, NULL::BIGINT AS founder, NULL::DOUBLE AS s, []::BIGINT[] AS founders
   UNION ALL

@@ -322,7 +322,7 @@ def check_outbox(spark, sf):
     box = A.table(spark, sf, "orders").selectExpr(
         "o_orderkey AS message_id_key", "concat('m', o_orderkey) AS message_id", "concat('i', o_orderkey) AS item_id",
         "CASE WHEN o_orderkey % 3 > 0 THEN concat('s', o_custkey) END AS source_id", "CAST(NULL AS STRING) AS run_id",
-        "CASE o_orderstatus WHEN 'P' THEN 'c0' ELSE concat('c', o_custkey) END AS correlation_id",
+        "CASE o_orderstatus WHEN 'P' THEN 'other' ELSE concat('c', o_custkey) END AS correlation_id",
         "CASE WHEN o_orderpriority = '5-LOW' THEN 'elsewhere' ELSE 'content-processing' END AS destination",
     )
     envelopes = typed.withColumn("row_id", F.concat(F.lit("m"), "row_id"))
@@ -506,7 +506,7 @@ def _stored_updates(spark, sf):
 @query
 def cosine_pairs(spark, sf):
     """Texts against the representatives that share one of their topics, over the whole texts."""
-    docs = X.topics(_docs(spark, sf), "doc_id", "text").select("doc_id", F.explode("topics").alias("topic"))
+    docs = X.topics(_docs(spark, sf), "doc_id", "text").select("doc_id", F.explode_outer("topics").alias("topic"))
     reps = X.topics(A.table(spark, sf, "benchmark"), "item_id", "text").select(
         "item_id", X.primary_topic(F.col("topics")).alias("topic")
     )
