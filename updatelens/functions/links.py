@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-from urllib.parse import quote, urljoin
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,27 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from updatelens import constants as K
+from updatelens.functions import text as T
 from updatelens.functions.text import trim_ws
 from updatelens.functions.values import sha256_upper
 
 _PARTS = r"^(https?)://(?:([^/?#@]*)@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
-_SAFE = "%/?&=:;,+$@!*'()~#[]-._"
 
 
-@F.pandas_udf(StringType())
-def _percent_encode(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: quote(v, safe=_SAFE), na_action="ignore")
-
-
-@F.pandas_udf(StringType())
-def _ascii_host(values: pd.Series) -> pd.Series:
-    def encode(v: str) -> str | None:
-        try:
-            return v.encode("idna").decode("ascii")
-        except UnicodeError:
-            return None
-
-    return values.map(encode, na_action="ignore")
+def _percent_encode(c: Column) -> Column:
+    """Characters that may not stand in a link as the percent codes of their UTF-8 bytes."""
+    return F.array_join(
+        F.transform(
+            F.split(c, ""),
+            lambda ch: F.when(_plain(ch), ch).otherwise(
+                F.regexp_replace(F.hex(F.encode(ch, "UTF-8")), "(..)", "%$1")
+            ),
+        ),
+        "",
+    )
 
 
 def _plain(c: Column) -> Column:
@@ -42,51 +39,65 @@ def _part(c: Column, index: int) -> Column:
     return F.regexp_extract(c, "(?i)" + _PARTS, index)
 
 
-def _canonical(c: Column) -> Column:
+def _split(c: Column) -> Column:
+    """The parts of an absolute http(s) link as a struct; null for anything else."""
+    names = ["scheme", "user", "host", "port", "path", "query", "fragment"]
+    parts = F.struct(*[_part(c, i).alias(n) for i, n in enumerate(names, 1)])
+    return F.when(c.rlike("(?i)" + _PARTS), parts)
+
+
+def _joined(p: Column) -> Column:
     """Scheme and host in lower case, no default port, no fragment, path and query as given."""
-    t = trim_ws(c)
-    ok = t.rlike("(?i)" + _PARTS)
-    scheme = F.lower(_part(t, 1))
-    user, raw_host, port = _part(t, 2), F.lower(_part(t, 3)), _part(t, 4)
-    host = F.when(raw_host.rlike(r"^[\x00-\x7F]*$"), raw_host).otherwise(
-        _ascii_host(F.when(~raw_host.rlike(r"^[\x00-\x7F]*$"), raw_host))
-    )
-    path = F.when(_part(t, 5) == "", F.lit("/")).otherwise(_part(t, 5))
-    tail = F.concat(path, _part(t, 6))
-    tail = F.coalesce(_percent_encode(F.when(~_plain(tail), tail)), tail)
-    number = port.cast("int")
+    scheme, number = F.lower(p["scheme"]), p["port"].cast("int")
     default = (
-        (port == "")
+        (p["port"] == "")
         | ((scheme == "http") & (number == 80))
         | ((scheme == "https") & (number == 443))
     )
-    valid = ok & ((port == "") | F.coalesce(number <= 65535, F.lit(False)))
+    valid = (p["port"] == "") | F.coalesce(number <= 65535, F.lit(False))
+    tail = T.let(
+        F.concat(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]), p["query"]),
+        lambda t: F.when(_plain(t), t).otherwise(_percent_encode(t)),
+    )
     url = F.concat(
         scheme,
         F.lit("://"),
-        F.when(user == "", F.lit("")).otherwise(F.concat(user, F.lit("@"))),
-        host,
+        F.when(p["user"] == "", F.lit("")).otherwise(F.concat(p["user"], F.lit("@"))),
+        F.lower(p["host"]),
         F.when(default, F.lit("")).otherwise(F.concat(F.lit(":"), number.cast("string"))),
         tail,
     )
-    return F.when(valid, url)
+    return F.when(p.isNotNull() & valid, url)
+
+
+def _canonical(c: Column, limit: int, keep_fragment: bool = False) -> Column:
+    def build(p: Column) -> Column:
+        url = T.let(_joined(p), lambda u: F.when(F.char_length(u) <= limit, u))
+        return F.concat(url, p["fragment"]) if keep_fragment else url
+
+    return T.let(trim_ws(c), lambda t: T.let(_split(t), build))
 
 
 def canonical_url(c: Column) -> Column:
     """Canonical absolute http(s) link; null when it is none or too long."""
-    url = _canonical(c)
-    return F.when(F.char_length(url) <= K.URL_MAX, url)
+    return _canonical(c, K.URL_MAX)
 
 
 def canonical_feed_url(c: Column) -> Column:
     """As ``canonical_url`` with the rules of a registered feed: short, no credentials, public host."""
-    t = trim_ws(c)
-    url = _canonical(t)
-    fits = (F.char_length(t) <= K.FEED_URL_MAX) & (F.char_length(url) <= K.FEED_URL_MAX)
-    # The text has to be well formed before any repair: no spaces, no loose backslashes.
-    formed = ~t.rlike(r"[\s\\^`{|}<>\"]")
-    open_host = is_public_host(url_host(url), K.REFUSED_FEED_IPV4)
-    return F.when(fits & formed & (_part(t, 2) == "") & open_host, url)
+    url = _canonical(c, K.FEED_URL_MAX)
+    host = url_host(c)
+    v6 = _ipv6_kind(F.when(host.contains(":"), host))
+    parts = F.struct(trim_ws(c).alias("text"), url.alias("url"), host.alias("host"), v6.alias("v6"))
+
+    def checked(x: Column) -> Column:
+        fits = F.char_length(x["text"]) <= K.FEED_URL_MAX
+        # The text has to be well formed before any repair: no spaces, no loose backslashes.
+        formed = ~x["text"].rlike(r"[\s\\^`{|}<>\"]")
+        free = _part(x["text"], 2) == ""
+        return F.when(fits & formed & free & _public(x["host"], x["v6"], K.REFUSED_FEED_IPV4), x["url"])
+
+    return T.let(parts, checked)
 
 
 def url_hash(normalized: Column) -> Column:
@@ -103,13 +114,7 @@ def resolve_url(base: Column, ref: Column) -> Column:
     r = trim_ws(ref)
     absolute = r.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
     joined = F.coalesce(F.when(absolute, r), _join(base, F.when(~absolute & (r != ""), r)))
-    return canonical_keeping_fragment(joined)
-
-
-def canonical_keeping_fragment(c: Column) -> Column:
-    url = _canonical(c)
-    fragment = _part(trim_ws(c), 7)
-    return F.when(F.char_length(url) <= K.URL_MAX, F.concat(url, fragment))
+    return _canonical(joined, K.URL_MAX, keep_fragment=True)
 
 
 def url_host(c: Column) -> Column:
@@ -154,17 +159,27 @@ def _ipv6_kind(values: pd.Series) -> pd.Series:
     return values.map(kind, na_action="ignore")
 
 
+def _public(host: Column, v6: Column, blocks: list[str]) -> Column:
+    def decide(x: Column) -> Column:
+        local = (x["name"] == "localhost") | x["name"].endswith(".localhost")
+        return (
+            F.when(local, F.lit(False))
+            .when(x["number"].isNotNull(), ~_inside(x["number"], blocks))
+            .when(x["v6"].isNotNull(), x["v6"] == "public")
+            .otherwise(x["name"].isNotNull())
+        )
+
+    return T.let(
+        F.struct(
+            F.lower(F.regexp_replace(host, r"\.+$", "")).alias("name"),
+            F.coalesce(ipv4_number(host), ipv4_number(v6)).alias("number"),
+            v6.alias("v6"),
+        ),
+        decide,
+    )
+
+
 def is_public_host(host: Column, blocks: list[str] | None = None) -> Column:
     """False for local names and for address literals outside the public ranges."""
-    blocks = K.NON_PUBLIC_IPV4 if blocks is None else blocks
-    name = F.lower(F.regexp_replace(host, r"\.+$", ""))
-    local = (name == "localhost") | name.endswith(".localhost")
-    is_v6 = host.contains(":")
-    v6 = _ipv6_kind(F.when(is_v6, host))
-    number = F.coalesce(ipv4_number(host), ipv4_number(v6))
-    return (
-        F.when(local, F.lit(False))
-        .when(number.isNotNull(), ~_inside(number, blocks))
-        .when(is_v6, v6 == "public")
-        .otherwise(host.isNotNull())
-    )
+    v6 = _ipv6_kind(F.when(host.contains(":"), host))
+    return _public(host, v6, K.NON_PUBLIC_IPV4 if blocks is None else blocks)

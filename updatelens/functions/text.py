@@ -5,6 +5,7 @@ from __future__ import annotations
 import html.entities
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the planner copies the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
 

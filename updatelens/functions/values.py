@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from updatelens.functions.text import is_blank, trim_ws
+from updatelens.functions.text import is_blank, let, trim_ws
 from updatelens.options import ScoringOptions
 
 # Accepted time patterns, tried in order after the weekday name is dropped.
@@ -31,7 +31,7 @@ def parse_utc(c: Column) -> Column:
     """ISO-8601 or mail-style time to a UTC timestamp; no offset means UTC; unreadable is null."""
     text = F.regexp_replace(F.regexp_replace(trim_ws(c), r"^[A-Za-z]{3,9},\s*", ""), r"\s+", " ")
     text = F.regexp_replace(text, r" (GMT|UTC|UT|Z)$", " +0000")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in TIME_PATTERNS])
+    return let(text, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in TIME_PATTERNS]))
 
 
 def observed_at(published: Column | str, retrieved: Column | str) -> Column:

@@ -272,9 +272,10 @@ def dedup_title_window(
     batch: DataFrame, stored: DataFrame | None = None, options: DedupOptions = DedupOptions()
 ) -> DataFrame:
     """The title rule alone: items without any key whose title was kept within the window are dropped."""
-    keyless = batch.where(has_no_key(ITEM_RULES))
-    keyed = batch.where(~has_no_key(ITEM_RULES))
-    kept = settle_titles(keyless, _keepers(keyed, stored), options)
+    slim = _keys_only(batch)
+    no_key = has_no_key(ITEM_RULES)
+    kept = settle_titles(slim.where(no_key), _keepers(slim.where(~no_key), stored), options)
+    keyless, keyed = batch.where(no_key), batch.where(~no_key)
     return keyed.unionByName(keyless.join(kept, "item_id", "left_semi"))
 
 
@@ -289,6 +290,16 @@ def _keepers(batch_kept: DataFrame, stored: DataFrame | None) -> DataFrame:
 # --- all rules ----------------------------------------------------------------------------------
 
 
+_KEY_COLUMNS = [
+    "item_id", "source_id", "external_id", "url_hash", "content_hash", "normalized_title", "retrieved_at",
+]
+
+
+def _keys_only(batch: DataFrame) -> DataFrame:
+    """The comparison columns, written once: the rounds never touch the texts again."""
+    return materialize(batch.select(*_KEY_COLUMNS))
+
+
 def _dedup(
     batch: DataFrame, stored: DataFrame | None, rules: tuple[str, ...], options: DedupOptions
 ) -> DataFrame:
@@ -320,7 +331,7 @@ def dedup_items(
 
     Returns (kept, duplicates); duplicates carry ``reason`` and, for key rules, ``first_item_id``.
     """
-    outcome = materialize(_dedup(batch, stored, ITEM_RULES, options))
+    outcome = materialize(_dedup(_keys_only(batch), stored, ITEM_RULES, options))
     kept = batch.join(outcome.where("kept"), "item_id", "left_semi")
     return kept, outcome.where("NOT kept").select("item_id", "reason", "first_item_id")
 
@@ -330,6 +341,7 @@ def dedup_articles(
 ) -> DataFrame:
     """Rules of single articles: link, content hash, title. Returns (item_id, is_duplicate,
     existing_item_id, reason); the existing id of a title repeat is the nearest one before it."""
+    batch = _keys_only(batch)
     outcome = materialize(_dedup(batch, stored, ARTICLE_RULES, options))
     titled = batch.join(outcome.where("reason = 'title'"), "item_id", "left_semi")
     kept = batch.join(outcome.where("kept"), "item_id", "left_semi")

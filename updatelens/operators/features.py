@@ -14,11 +14,6 @@ from updatelens.functions import text as T
 MATCH_SCHEMA = "array<struct<interest_id:string,strength:double>>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, also where the planner copies the expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _run_starts(s: Column) -> Column:
     n = F.size(s)
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
@@ -41,7 +36,7 @@ def token_counts(tokens: Column) -> Column:
             ),
         )
 
-    return _let(F.sort_array(tokens), lambda s: _let(_run_starts(s), lambda starts: runs(s, starts)))
+    return T.let(F.sort_array(tokens), lambda s: T.let(_run_starts(s), lambda starts: runs(s, starts)))
 
 
 def with_counts(df: DataFrame, tokens: str, out: str) -> DataFrame:

@@ -140,7 +140,7 @@ def assign_to_updates(
 ) -> DataFrame:
     """Merge target of each item among stored updates: (item_id, update_id, similarity), null when
     the item founds its own."""
-    pairs = candidate_updates(items, updates, as_of, options).select("item_id", "update_id")
+    pairs = materialize(candidate_updates(items, updates, as_of, options).select("item_id", "update_id"))
     lv = text_vectors(items, "item_id", probe_text(F.col("title"), F.col("primary_topic")))
     rv = text_vectors(
         updates, "update_id", representative_text(F.col("representative_title"), F.col("primary_topic"))

@@ -22,7 +22,7 @@ from updatelens.operators import state as H
 from updatelens.options import BriefOptions, GroupingOptions
 from updatelens.plans import brief as brief_plan
 from updatelens.plans import relevance
-from updatelens.session import scratch_dir
+from updatelens.session import materialize, scratch_dir
 from updatelens.sources import articles, feeds, messages, sinks
 from updatelens.streaming import jobs as streams
 from updatelens.workload import adapters as A
@@ -490,14 +490,13 @@ def _probes(spark, sf):
         "item_id", "title", V.observed_at("published_at", "retrieved_at").alias("observed_at"),
         F.col("retrieved_at").alias("received_at"),
     )
-    return raw.join(
-        found.select(F.col("doc_id").alias("item_id"), "topics", X.primary_topic(F.col("topics")).alias("primary_topic")),
-        "item_id",
-    )
+    topics = found.select(F.col("doc_id").alias("item_id"), "topics", X.primary_topic(F.col("topics")).alias("primary_topic"))
+    # Analysed items are a stored table: several operators read them.
+    return materialize(raw.join(topics, "item_id"))
 
 
-def _stored_updates(spark, sf):
-    return _probes(spark, sf).select(
+def _as_updates(probes):
+    return probes.select(
         F.col("item_id").alias("update_id"), F.col("title").alias("representative_title"), "primary_topic",
         F.col("observed_at").alias("last_observed_at"),
     )
@@ -518,7 +517,8 @@ def cosine_pairs(spark, sf):
 
 @query
 def candidate_updates(spark, sf):
-    return G.candidate_updates(_probes(spark, sf), _stored_updates(spark, sf), A.as_of())
+    probes = _probes(spark, sf)
+    return G.candidate_updates(probes, _as_updates(probes), A.as_of())
 
 
 @query
@@ -531,7 +531,8 @@ def best_match(spark, sf):
 
 @query
 def assign_to_updates(spark, sf):
-    found = G.assign_to_updates(_probes(spark, sf), _stored_updates(spark, sf), A.as_of())
+    probes = _probes(spark, sf)
+    found = G.assign_to_updates(probes, _as_updates(probes), A.as_of())
     return found.select("item_id", "update_id", F.round("similarity", 9).alias("similarity"))
 
 
