@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from updatelens import constants as K
 from updatelens.functions import text as T
+from updatelens.session import materialize
 
 MATCH_SCHEMA = "array<struct<interest_id:string,strength:double>>"
 
@@ -192,7 +193,8 @@ Provider = Callable[[DataFrame, DataFrame], DataFrame]
 
 def deterministic_provider(items: DataFrame, interests: DataFrame, lexicon: list[str] | None = None) -> DataFrame:
     """The built-in analysis: one row per item with its matches as an array."""
-    base = analyze_items(items, lexicon)
+    # Written once: the text work would otherwise run for the matches and for the rest.
+    base = materialize(analyze_items(items, lexicon))
     matched = (
         interest_match(base, "item_id", "tokens", interests)
         .groupBy("item_id")

@@ -15,7 +15,7 @@ from updatelens.functions.values import observed_at
 from updatelens.operators.features import with_counts
 from updatelens.options import GroupingOptions
 from updatelens.session import materialize
-from updatelens.skew import lookup, salted_join
+from updatelens.skew import is_small, lookup, salted_join
 
 # --- cosine similarity --------------------------------------------------------------------------
 
@@ -66,13 +66,25 @@ def cosine_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFra
     return _similarity(pairs, lv, rv, "left_id", "right_id")
 
 
-def _similarity(pairs: DataFrame, lv: DataFrame, rv: DataFrame, left_id: str, right_id: str) -> DataFrame:
+def _similarity(
+    pairs: DataFrame, lv: DataFrame, rv: DataFrame, left_id: str, right_id: str, at_least: float | None = None
+) -> DataFrame:
+    """Similarity per pair; with ``at_least`` only of pairs that reach it.
+
+    A pair costs far more work than bytes, so a list that is small in bytes is spread over all cores.
+    """
+    if is_small(pairs):
+        pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, left_id, right_id)
     rows = lookup(pairs, lv, [left_id], F.col(right_id))
     rows = lookup(rows, rv, [right_id], F.col(left_id))
-    dot = dot_product(F.col("_lc"), F.col("_rc"))
-    return rows.select(
-        *pairs.columns, cosine(dot, F.col("_ln"), F.col("_rn")).alias("similarity")
+    value = T.let(
+        dot_product(F.col("_lc"), F.col("_rc")), lambda dot: cosine(dot, F.col("_ln"), F.col("_rn"))
     )
+    if at_least is None:
+        return rows.select(*pairs.columns, value.alias("similarity"))
+    # The outer form keeps the planner from computing the similarity once more for a filter.
+    reached = F.filter(F.array(value), lambda s: s >= at_least)
+    return rows.select(*pairs.columns, F.explode_outer(reached).alias("similarity")).where("similarity IS NOT NULL")
 
 
 # --- items against stored updates ---------------------------------------------------------------
@@ -151,8 +163,9 @@ def assign_to_updates(
         rv.withColumnsRenamed({"counts": "_rc", "norm": "_rn"}),
         "item_id",
         "update_id",
+        options.merge_threshold,
     )
-    best = best_match(scored).where(F.col("similarity") >= options.merge_threshold)
+    best = best_match(scored)
     return items.select("item_id").join(best.select("item_id", "update_id", "similarity"), "item_id", "left")
 
 
@@ -194,7 +207,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFra
     """Pairs (probe_id, rep_id) whose similarity reaches the threshold."""
     lv = vectors.select(F.col("id").alias("probe_id"), F.col("probe").alias("_lc"), F.col("probe_norm").alias("_ln"))
     rv = vectors.select(F.col("id").alias("rep_id"), F.col("rep").alias("_rc"), F.col("rep_norm").alias("_rn"))
-    return _similarity(pairs, lv, rv, "probe_id", "rep_id").where(F.col("similarity") >= threshold)
+    return _similarity(pairs, lv, rv, "probe_id", "rep_id", threshold)
 
 
 def _block_pairs(probes: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:

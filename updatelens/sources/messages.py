@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from updatelens import constants as K
-from updatelens.functions.text import clean_optional, is_blank
+from updatelens.functions.text import clean_optional, is_blank, let
 
 # Message fields, required ones first.
 REQUIRED = {"messageId": "message_id", "sourceItemId": "item_id", "correlationId": "correlation_id", "occurredAtUtc": "occurred_at"}
@@ -27,20 +27,26 @@ def read_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     has the wrong type or is unknown, or the trace text is too long.
     """
     known = F.array(*[F.lit(n) for n in [*REQUIRED, *OPTIONAL]])
-    m = F.col("_m")
-    reason = (
-        F.when(m.isNull() | F.json_object_keys("body").isNull(), F.lit("not_json"))
-        .when(F.size(F.array_except(F.json_object_keys("body"), known)) > 0, F.lit("unknown_field"))
-        .when(m["_bad"].isNotNull(), F.lit("wrong_type"))
-    )
-    for name in REQUIRED:
-        reason = reason.when(is_blank(m[name].cast("string")), F.lit("missing_field"))
-    for name in ("sourceId", "ingestionRunId"):
-        reason = reason.when(m[name].isNotNull() & is_blank(m[name]), F.lit("missing_field"))
-    reason = reason.when(
-        F.char_length(clean_optional(m["traceParent"])) > K.TRACE_MAX, F.lit("trace_too_long")
-    )
-    judged = lines.select("row_id", "body", _parsed(F.col("body")).alias("_m")).withColumn("reason", reason)
+
+    def reason(m: Column, names: Column) -> Column:
+        found = (
+            F.when(m.isNull() | names.isNull(), F.lit("not_json"))
+            .when(F.size(F.array_except(names, known)) > 0, F.lit("unknown_field"))
+            .when(m["_bad"].isNotNull(), F.lit("wrong_type"))
+        )
+        for name in REQUIRED:
+            found = found.when(is_blank(m[name].cast("string")), F.lit("missing_field"))
+        for name in ("sourceId", "ingestionRunId"):
+            found = found.when(m[name].isNotNull() & is_blank(m[name]), F.lit("missing_field"))
+        return found.when(
+            F.char_length(clean_optional(m["traceParent"])) > K.TRACE_MAX, F.lit("trace_too_long")
+        )
+
+    parts = F.struct(_parsed(F.col("body")).alias("m"), F.json_object_keys("body").alias("names"))
+    judge = let(parts, lambda p: F.struct(p["m"].alias("m"), reason(p["m"], p["names"]).alias("reason")))
+    # The outer form keeps the two filters from parsing the text again.
+    judged = lines.select("row_id", "body", F.inline_outer(F.array(judge)))
+    m = F.col("m")
     fields = [
         (clean_optional(m[n]) if n == "traceParent" else m[n]).alias(c) for n, c in {**REQUIRED, **OPTIONAL}.items()
     ]
