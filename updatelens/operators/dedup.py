@@ -45,8 +45,8 @@ def _dedup_single(batch: DataFrame, stored: DataFrame | None, rule: str) -> Data
     first = W.partitionBy("_part").orderBy("retrieved_at", "item_id")
     kept = keyed.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     if stored is not None:
-        seen = stored.select(rule_key(rule).alias("_key")).where("_key IS NOT NULL")
-        kept = kept.join(seen, "_key", "left_anti")
+        seen = stored.select(rule_key(rule).alias("_part")).where("_part IS NOT NULL")
+        kept = kept.join(seen, "_part", "left_anti")
     return kept.select(*batch.columns)
 
 

@@ -485,7 +485,8 @@ def commit_outcomes(receipts: DataFrame, items: DataFrame, links: DataFrame) ->
     """What happens to each receipt: item missing, already handled, or to be grouped."""
     known = items.select("item_id", "status")
     linked = links.select("item_id").distinct().withColumn("_linked", F.lit(True))
-    rows = receipts.join(known, "item_id", "left").join(linked, "item_id", "left")
+    spread = F.struct(*receipts.columns)
+    rows = lookup(lookup(receipts, known, ["item_id"], spread), linked, ["item_id"], spread)
     return rows.select(
         *receipts.columns,
         F.when(F.col("status").isNull(), F.lit("SkippedItemMissing"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from updatelens import constants as K
 from updatelens.functions import links as L
 from updatelens.functions import text as T
+from updatelens.skew import lookup
 
 
 def _errors(*checks: Column) -> Column:
@@ -75,9 +76,10 @@ def validate_messages(messages: DataFrame, items: DataFrame, outbox: DataFrame,
         F.col("status").alias("o_status"),
     )
     done = receipts.select("item_id").distinct().withColumn("_received", F.lit(True))
-    joined = (
-        messages.join(known, "item_id", "left").join(sent, "message_id", "left").join(done, "item_id", "left")
-    )
+    # One item may be named by very many messages.
+    spread = F.col("message_id")
+    joined = lookup(lookup(messages, known, ["item_id"], spread), done, ["item_id"], spread)
+    joined = joined.join(sent, "message_id", "left")
     mismatch = (
         ~F.col("i_source").eqNullSafe(F.col("source_id"))
         | F.col("o_item").isNull()
@@ -104,7 +106,7 @@ def validate_messages(messages: DataFrame, items: DataFrame, outbox: DataFrame,
         .agg(F.min(F.struct("occurred_at", "message_id")).alias("_first"))
     )
     again = (F.col("disposition") == "accepted") & (F.col("_first.message_id") != F.col("message_id"))
-    return judged.join(first, "item_id", "left").select(
+    return lookup(judged, first, ["item_id"], spread).select(
         *messages.columns,
         F.when(again, F.lit("already_accepted")).otherwise(F.col("disposition")).alias("disposition"),
     )

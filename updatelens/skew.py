@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +44,12 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, w
         heavy = table.join(F.broadcast(heaviest(rows, keys)), keys, "left_semi").limit(HEAVY_KEYS)
     heavy = heavy.select(*keys, F.struct(*values).alias("_hot"))
     rest = table.select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
+    # Rows without a key match nothing; they are spread like hot ones.
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     marked = rows.join(F.broadcast(heavy), keys, "left").withColumn(
         "_salt",
-        F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
-            (F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(SALTS))).cast("int")
-        ),
+        F.when(F.col("_hot").isNotNull() | no_key, (F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(SALTS))).cast("int"))
+        .otherwise(F.lit(0)),
     )
     joined = marked.join(rest, [*keys, "_salt"], "left")
     found = F.coalesce("_hot", "_cold")

@@ -15,6 +15,7 @@ from updatelens import constants as K
 from updatelens.functions import text as T
 from updatelens.functions.links import resolve_url
 from updatelens.functions.values import content_hash, parse_utc
+from updatelens.skew import lookup
 
 _RAW = ["external_id", "link", "title", "excerpt", "published"]
 
@@ -179,6 +180,6 @@ def unchanged_filter(feeds: DataFrame, sources: DataFrame) -> tuple[DataFrame, D
     ``sources`` has source_id and validator; a source without one is always processed.
     """
     stored = sources.select("source_id", F.col("validator").alias("_stored"))
-    marked = feeds.withColumn("validator", payload_validator()).join(stored, "source_id", "left")
+    marked = lookup(feeds.withColumn("validator", payload_validator()), stored, ["source_id"], F.col("validator"))
     same = F.coalesce(F.col("validator") == F.col("_stored"), F.lit(False))
     return marked.where(~same).drop("_stored"), marked.where(same).drop("_stored")
