@@ -67,3 +67,16 @@ def test_groups_one_item_at_a_time(spark):
 def test_late_items(spark):
     df = spark.createDataFrame([(1, AS_OF - timedelta(hours=168)), (2, AS_OF - timedelta(hours=169))], "item_id int, observed_at timestamp")
     assert rows(jobs.late_items(df, F.lit(AS_OF)), "item_id") == [(2,)]
+
+
+def test_groups_from_a_running_stream(spark):
+    base = f"{scratch_dir(spark)}/running-groups"
+    interests = spark.createDataFrame([("i", "release", "High", True)], "interest_id string, name string, priority string, is_active boolean")
+    sources = spark.createDataFrame([("s0", "https://a.test/r"), ("s1", "https://b.test/r")], "source_id string, feed_url string")
+    every = spark.createDataFrame(items(6), SCHEMA)
+    every.coalesce(1).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(every.schema).parquet(f"{base}/in")
+    jobs.store_groups(stream, f"{base}/out", f"{base}/state", interests, sources, F.lit(AS_OF)).awaitTermination()
+    whole = relevance.score_items(every, interests, sources, F.lit(AS_OF))
+    scores = jobs.newest_scores(spark.read.parquet(f"{base}/out/scores"))
+    assert rows(scores, "update_id", "score") == rows(whole.scores, "update_id", "score")
