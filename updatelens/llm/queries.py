@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from updatelens.llm import rules, tokens
+from updatelens.llm import mixing, rules, sharding, tokens
 from updatelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,17 @@ def op3_line_rules(spark, sf):
     return rules.clean_lines(table(spark, sf, "documents"), with_text=False)
 
 
+@query
+def op4_mixing(spark, sf):
+    mixed = mixing.mix(table(spark, sf, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op5_sharding(spark, sf):
+    return sharding.shard(table(spark, sf, "documents"))
+
+
 @query
 def op9_token_counts(spark, sf):
     return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path(tokens.VOCABULARY))
