@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from updatelens.llm import mixing, rules, sharding, tokens
+from updatelens.llm import mixing, quality, rules, sharding, simhash, tokens
 from updatelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_quality(spark, sf):
+    return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op3_line_rules(spark, sf):
     return rules.clean_lines(table(spark, sf, "documents"), with_text=False)
@@ -35,6 +40,12 @@ def op5_sharding(spark, sf):
     return sharding.shard(table(spark, sf, "documents"))
 
 
+@query
+def op7_simhash(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", simhash.as_hex(found["fp"]).alias("fingerprint"), "component_id")
+
+
 @query
 def op9_token_counts(spark, sf):
     return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path(tokens.VOCABULARY))
