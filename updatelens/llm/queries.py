@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from updatelens.llm import mixing, quality, rules, sharding, simhash, tokens
+from updatelens.llm import mixing, passages, quality, rules, sharding, simhash, substrings, tokens
 from updatelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,12 @@ def op5_sharding(spark, sf):
     return sharding.shard(table(spark, sf, "documents"))
 
 
+@query
+def op6_substrings(spark, sf):
+    found = substrings.remove_repeated_bytes(table(spark, sf, "documents"))
+    return substrings.digest_rows(found, "n_bytes")
+
+
 @query
 def op7_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
@@ -49,3 +55,9 @@ def op7_simhash(spark, sf):
 @query
 def op9_token_counts(spark, sf):
     return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path(tokens.VOCABULARY))
+
+
+@query
+def op10_passages(spark, sf):
+    found = passages.remove_earlier_passages(table(spark, sf, "documents"))
+    return substrings.digest_rows(found, "n_words").drop("n_spans")
