@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from updatelens.llm import mixing, passages, quality, rules, sharding, simhash, substrings, tokens
+from updatelens.llm import decontamination, mixing, passages, quality, rules, sharding, simhash, substrings, tokens
 from updatelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op1_quality(spark, sf):
     return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op2_decontamination(spark, sf):
+    return decontamination.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op3_line_rules(spark, sf):
     return rules.clean_lines(table(spark, sf, "documents"), with_text=False)
