@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from updatelens.llm import decontamination, mixing, passages, quality, rules, sharding, simhash, substrings, tokens
+from updatelens.llm import decontamination, mixing, pages, passages, quality, rules, sharding, simhash, substrings, tokens
 from updatelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def op7_simhash(spark, sf):
     return found.select("doc_id", simhash.as_hex(found["fp"]).alias("fingerprint"), "component_id")
 
 
+@query
+def op8_main_text(spark, sf):
+    return pages.main_text(table(spark, sf, "pages"))
+
+
 @query
 def op9_token_counts(spark, sf):
     return tokens.count_tokens(table(spark, sf, "documents"), public_tokenizers.path(tokens.VOCABULARY))
