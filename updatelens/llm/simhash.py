@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -25,42 +26,76 @@ from updatelens.session import materialize
 
 BITS = 64
 TILE = 4096  # rows of one side of a comparison
+WIDE_TILE = 32_768  # the same where nearly all tiles meet, which sends a row to fewer comparisons
 STEP = 100_000  # shingles hashed at once
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """SimHash of the shingles of ``width`` words of a text; 0 without words."""
+@dataclass(frozen=True)
+class Closeness:
+    """When two texts are linked: fingerprints of shingles of ``width`` words within ``radius`` bits
+    and, if ``check_width`` is given, a longer sketch of shingles of that many words within ``check_bits``."""
+
+    width: int = 3
+    radius: int = 2
+    check_width: int = 0
+    check_bits: int = 0
+
+
+# Shingles of five words that agree in 0.8 or more differ in about 39 of 256 bits, with a spread of 6.
+SIMILAR = Closeness(width=3, radius=12, check_width=5, check_bits=48)
+CHECKS = ["c0", "c1", "c2", "c3"]
+
+
+def sketch(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) -> list[int]:
+    """SimHash of the shingles of ``width`` words of a text, 64 bits for each seed; 0 without words."""
     words = utf8(text).lower().split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     whole = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(width, len(words))
     first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros((len(seeds), BITS), np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(first), STEP):
-        found = [digest(whole[a:b], 42) for a, b in zip(first[at : at + STEP], last[at : at + STEP])]
-        packed = np.array(found, dtype=">u8").view(np.uint8)
-        ones += np.unpackbits(packed).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(first)).tobytes(), "big", signed=True)
+        cut = [whole[a:b] for a, b in zip(first[at : at + STEP], last[at : at + STEP])]
+        for row, seed in enumerate(seeds):
+            packed = np.array([digest(c, seed) for c in cut], dtype=">u8").view(np.uint8)
+            ones[row] += np.unpackbits(packed).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(row).tobytes(), "big", signed=True) for row in 2 * ones > len(first)]
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, a digest of the text and ``fp``, the fingerprint as a signed long, of every row."""
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return sketch(text, width)[0]
+
+
+def fingerprints(docs: DataFrame, close: Closeness = Closeness()) -> DataFrame:
+    """doc_id, a digest of the text, ``fp``, the fingerprint as a signed long, and ``node`` of every row.
+
+    With a longer sketch, c0 to c3 hold it; ``node`` names fingerprint and sketch together.
+    """
+    checks = CHECKS if close.check_width else []
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch["fp"] = np.array([fingerprint(t, width) for t in batch["text"]], np.int64)
-        return batch[["doc_id", "digest", "fp"]]
+        batch["fp"] = np.array([fingerprint(t, close.width) for t in batch["text"]], np.int64)
+        if checks:
+            found = [sketch(t, close.check_width, (1, 2, 3, 4)) for t in batch["text"]]
+            batch[checks] = np.array(found, np.int64).reshape(-1, len(checks))
+        return batch[["doc_id", "digest", "fp", *checks]]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
-    return map_batches(rows, run, f"doc_id {kind}, digest long, fp long")
+    schema = ", ".join([f"doc_id {kind}, digest long, fp long", *(f"{c} long" for c in checks)])
+    node = F.xxhash64("fp", *checks) if checks else F.col("fp")
+    return map_batches(rows, run, schema).withColumn("node", node)
 
 
-def parts_for(rows: int) -> int:
-    """Into how many parts the bits are cut so that a tile meets about a tile's rows at this table size."""
+def parts_for(rows: int, radius: int) -> int:
+    """Into how many parts the bits are cut so that a tile meets about a tile's rows at this table size.
+    A wide radius meets nearly all tiles however they are cut; then the bits stay whole."""
+    if radius > 4:
+        return 1
     for parts in (4, 8):
         bits = BITS // parts
         equal = math.comb(2 * bits, bits) / 4.0**bits  # chance that two random parts have equal counts
@@ -72,7 +107,7 @@ def parts_for(rows: int) -> int:
 def _counts(fp: Column, parts: int) -> Column:
     """The population counts of the parts, six bits each."""
     bits, out = BITS // parts, F.lit(0).cast("long")
-    mask = F.lit((1 << bits) - 1).cast("long")
+    mask = F.lit((1 << bits) - 1 if parts > 1 else -1).cast("long")
     for i in range(parts):
         count = F.bit_count(F.shiftrightunsigned(fp, i * bits).bitwiseAND(mask)).cast("long")
         out = out + count * F.lit(1 << (6 * i)).cast("long")
@@ -88,15 +123,19 @@ def _steps(parts: int, radius: int) -> list[int]:
     return sorted(sum(v << (6 * i) if v >= 0 else -(-v << (6 * i)) for i, v in enumerate(c)) for c in within)
 
 
-def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between two lists of fingerprints that connect all that are within the radius."""
+def _forest(left: np.ndarray, right: np.ndarray, close: Closeness) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two lists of rows (node, fingerprint, sketch) that connect all that are close."""
     both = np.concatenate((left, right))
     label = np.arange(len(both))
-    rows = max(1, (1 << 21) // max(1, len(right)))
+    one, other = np.ascontiguousarray(left[:, 1]), np.ascontiguousarray(right[:, 1])
+    rows = max(1, (1 << 20) // len(right))
     for at in range(0, len(left), rows):
-        near = np.bitwise_count(left[at : at + rows, None] ^ right[None, :]) <= radius
+        near = np.bitwise_count(one[at : at + rows, None] ^ other[None, :]) <= close.radius
         i, j = np.nonzero(near)
         i, j = i + at, j + len(left)
+        if close.check_width and len(i):
+            same = np.bitwise_count(both[i, 2:] ^ both[j, 2:]).sum(axis=1, dtype=np.int64) <= close.check_bits
+            i, j = i[same], j[same]
         while True:
             low = np.minimum(label[i], label[j])
             if (low == label[i]).all() and (low == label[j]).all():
@@ -108,71 +147,73 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarra
             while (label != label[label]).any():
                 label = label[label]
     moved = np.flatnonzero(label != np.arange(len(both)))
-    a, b = both[moved], both[label[moved]]
+    a, b = both[moved, 0], both[label[moved], 0]
     return a[a != b], b[a != b]
 
 
-def _compare(radius: int):
+def _compare(close: Closeness, values: list[str]):
     """Comparison of sorted runs of rows with equal pair keys; a run may go on in the next batch."""
 
     def emit(run: pd.DataFrame) -> pd.DataFrame:
-        side, fp = run["side"].to_numpy(), run["fp"].to_numpy().view(np.uint64)
+        low = run["side"].to_numpy() == 0
+        rows = run[values].to_numpy().view(np.uint64)
         edges = np.flatnonzero(np.any(np.diff(run[["p", "ca", "cb"]].to_numpy(), axis=0) != 0, axis=1)) + 1
-        found = []
+        none = np.zeros(0, np.uint64)
+        found = [(none, none)]
         for a, b in zip([0, *edges], [*edges, len(run)]):
-            one = fp[a:b]
-            low = side[a:b] == 0
-            left, right = one[low], one[~low]
-            if len(right) and len(left):
-                found.append(_forest(left, right, radius))
-        a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
-        b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
+            left, right = rows[a:b][low[a:b]], rows[a:b][~low[a:b]]
+            if len(left) and len(right):
+                found.append(_forest(left, right, close))
+        a, b = (np.concatenate(x) for x in zip(*found))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = rest[["p", "ca", "cb"]].to_numpy()
-            same = (key == key[-1]).all(axis=1)
-            cut = len(rest) - int(same.sum())
-            if cut:
-                yield emit(rest.iloc[:cut])
-                rest = rest.iloc[cut:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield emit(rest)
+            key = batch[["p", "ca", "cb"]].to_numpy()
+            cut = len(batch) - int((key == key[-1]).all(axis=1).sum())
+            if held and (held[-1][["p", "ca", "cb"]].to_numpy()[-1] != key[-1]).any():
+                yield emit(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
+                held = []
+            elif cut:
+                yield emit(batch.iloc[:cut].reset_index(drop=True))
+            held.append(batch.iloc[cut:])
+        if held:
+            yield emit(pd.concat(held, ignore_index=True))
 
     return compare
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b) of different fingerprints within the radius that connect all such pairs.
+def links(distinct: DataFrame, close: Closeness) -> DataFrame:
+    """Pairs (a, b) of different nodes that connect all close ones.
 
-    ``distinct`` is a written table with a column ``fp`` without repeats.
+    ``distinct`` is a written table with a row for each node: node, fp and the sketch, if there is one.
     """
     spark = session(distinct.sparkSession)
-    parts = parts_for(distinct.count())
-    marked = distinct.select("fp", _counts(F.col("fp"), parts).alias("tile"))
-    tiles = materialize(marked.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("chunks")))
-    steps = F.array(*[F.lit(s).cast("long") for s in _steps(parts, radius)])
+    values = ["node", "fp", *(CHECKS if close.check_width else [])]
+    parts = parts_for(distinct.count(), close.radius)
+    rows = TILE if parts > 1 else WIDE_TILE
+    marked = distinct.select(*values, _counts(F.col("fp"), parts).alias("tile"))
+    tiles = materialize(marked.groupBy("tile").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("chunks")))
+    steps = F.array(*[F.lit(s).cast("long") for s in _steps(parts, close.radius)])
     near = tiles.select(F.col("tile").alias("ta"), F.col("chunks").alias("na"), F.explode(steps).alias("step"))
     near = near.withColumn("tb", F.col("ta") + F.col("step"))
     other = tiles.select(F.col("tile").alias("tb"), F.col("chunks").alias("nb"))
     # A pair of tiles is told by its first tile and the step to the second.
     pairs = near.join(other, "tb").withColumn("p", F.xxhash64("ta", "step")).select("ta", "tb", "na", "nb", "p")
     pairs = materialize(pairs)
-    chunk = F.xxhash64("fp", F.lit(1))
+    chunk = F.xxhash64("node", F.lit(1))
     first = marked.join(pairs.withColumnRenamed("ta", "tile"), "tile").select(
         "p", F.pmod(chunk, F.col("na")).cast("int").alias("ca"),
-        F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("cb"), F.lit(0).alias("side"), "fp",
+        F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("cb"), F.lit(0).alias("side"), *values,
     )
     second = marked.join(pairs.withColumnRenamed("tb", "tile"), "tile").select(
         "p", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ca"),
-        F.pmod(chunk, F.col("nb")).cast("int").alias("cb"), F.lit(1).alias("side"), "fp",
+        F.pmod(chunk, F.col("nb")).cast("int").alias("cb"), F.lit(1).alias("side"), *values,
     )
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = first.union(second).repartition(tasks, "p", "ca", "cb").sortWithinPartitions("p", "ca", "cb")
-    return dealt.mapInPandas(_compare(radius), "a long, b long").distinct()
+    return dealt.mapInPandas(_compare(close, values), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,38 +252,40 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def _named(docs: DataFrame, radius: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest, fp) of every row and (fp, root, component_id) of every fingerprint, both written."""
-    prints = materialize(fingerprints(docs, width))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct, radius))
-    linked = distinct.join(roots, distinct["fp"] == roots["node"], "left")
-    linked = linked.select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def _named(docs: DataFrame, close: Closeness) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of every row and (node, root, component_id) of every node, both written."""
+    prints = materialize(fingerprints(docs, close))
+    values = [c for c in prints.columns if c not in ("doc_id", "digest", "node")]
+    distinct = prints.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in values])
+    distinct = materialize(distinct)
+    roots = components(links(distinct, close)).withColumnRenamed("node", "_node")
+    linked = distinct.join(roots, distinct["node"] == roots["_node"], "left")
+    linked = linked.select("node", "first", F.coalesce("root", "node").alias("root"))
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints, materialize(linked.join(least, "root").select("fp", "root", "component_id"))
+    return prints, materialize(linked.join(least, "root").select("node", "root", "component_id"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
-    """Per row: doc_id, ``fp`` and ``component_id``, the smallest id that links of at most ``radius`` bits reach.
+def near_duplicates(docs: DataFrame, close: Closeness = Closeness()) -> DataFrame:
+    """Per row: doc_id, ``fp`` and ``component_id``, the smallest id that links reach.
 
     Texts without words, null ones included, have the fingerprint 0 and link like others. Rows with
     equal fingerprints are one component; a component whose ids are all null has a null id. An
     empty table gives an empty result. Other columns are not read.
     """
-    prints, named = _named(docs, radius, width)
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    prints, named = _named(docs, close)
+    return prints.join(named, "node").select("doc_id", "fp", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def first_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+def first_of_each(docs: DataFrame, close: Closeness = SIMILAR) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that with the smallest id (null last),
-    of equal ids that with the smaller digest of its text, of equal rows one."""
-    prints, named = _named(docs, radius, width)
+    of equal ids that with the smaller digest of its text, of equal rows one. Texts without words are one component."""
+    prints, named = _named(docs, close)
     place = F.struct(F.isnull("doc_id").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
-    kept = prints.join(named, "fp").groupBy("root").agg(F.min(place).alias("k")).select("k.*")
+    kept = prints.join(named, "node").groupBy("root").agg(F.min(place).alias("k")).select("k.*")
     kept = kept.select(F.col("none").alias("_none"), F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     keys = ["_none", "_id", "_digest"]
     marked = docs.select(
