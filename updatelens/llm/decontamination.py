@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from updatelens.llm.common import session, utf8
+from updatelens.llm.common import filter_batches, map_batches, session, utf8
 
 _KEPT = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
 GRAM = 8  # a q-gram fills one 64-bit number
@@ -205,31 +205,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak(), block
     a text or id are skipped. Repeated rows and items give repeated and equal results. Other
     columns are not read.
     """
-    found = marked(docs.select("doc_id", "text"), benchmark, leak, block_chars)
-    return found.select(
-        "doc_id", (F.size("_items") > 0).alias("contaminated"),
-        F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"),
-    )
+    session(docs.sparkSession)
+    rows = docs.select("doc_id", "text").withColumn("items", F.array().cast("array<long>"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    for items in blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(items, leak))
 
+        def look(batch: pd.DataFrame, shared=shared) -> pd.DataFrame:
+            more = [shared.value.leaks(normal(t)) for t in batch["text"]]
+            batch["items"] = [sorted({*a, *b}) for a, b in zip(batch["items"], more)]
+            return batch
 
-def marked(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak(), block_chars: int = 4_000_000) -> DataFrame:
-    """``docs`` with ``_items``, the items found."""
-    spark = session(docs.sparkSession)
-    out = docs.withColumn("_items", F.array().cast("array<long>"))
-    for items in blocks(benchmark, block_chars):
-        shared = spark.sparkContext.broadcast(Index(items, leak))
+        rows = map_batches(rows, look, f"doc_id {kind}, text string, items array<long>")
+    n_items = F.size("items").cast("long")
+    return rows.select("doc_id", (n_items > 0).alias("contaminated"), n_items.alias("n_items"), "items")
 
-        def look(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
-            for batch in batches:
-                more = [index.leaks(normal(t)) for t in batch["text"]]
-                batch["_items"] = [sorted({*a, *b}) for a, b in zip(batch["_items"], more)]
-                yield batch
 
-        out = out.mapInPandas(look, out.schema)
-    return out
+def clean_rows(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak(), block_chars: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs`` without a leak, block by block of the benchmark."""
+    for items in blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(Index(items, leak))
 
+        def keep(texts: list[str | None], shared=shared) -> list[bool]:
+            return [not shared.value.leaks(normal(t)) for t in texts]
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame, leak: Leak = Leak()) -> DataFrame:
-    """The rows of ``docs`` without a leak."""
-    return marked(docs, benchmark, leak).where(F.size("_items") == 0).select(*docs.columns)
+        docs = filter_batches(docs, keep)
+    return docs

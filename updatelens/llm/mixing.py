@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from updatelens.llm.common import attach, in_order, n_words, session
+from updatelens.llm.common import attach, in_order, n_words, session, unused
 from updatelens.session import materialize
 
 BLOCK = 128  # documents that meet in one fold, on average
@@ -204,10 +204,10 @@ def mix(
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
     copies = mix(docs, **options).groupBy("doc_id", "source", "digest").agg(F.first("copies").alias("copies"))
-    copies = copies.where("copies > 0").select(
-        F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("digest").alias("_d"), F.col("copies").alias("_copies")
-    )
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(copies["_i"]) & (marked["_hash"] == copies["_d"]) & marked["source"].eqNullSafe(copies["_s"])
-    joined = marked.join(copies, same).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+    i, s, d, n, h, each = unused(docs, "_id", "_source", "_digest", "_copies", "_hash", "_each")
+    names = {"doc_id": i, "source": s, "digest": d, "copies": n}
+    copies = copies.where("copies > 0").select(*[F.col(c).alias(new) for c, new in names.items()])
+    marked = docs.withColumn(h, F.xxhash64("text"))
+    same = marked["doc_id"].eqNullSafe(copies[i]) & (marked[h] == copies[d]) & marked["source"].eqNullSafe(copies[s])
+    joined = marked.join(copies, same).withColumn(each, F.explode(F.array_repeat(F.lit(1), F.col(n))))
     return joined.select(*docs.columns)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from updatelens.llm.common import map_batches, session, utf8
+from updatelens.llm.common import filter_batches, map_batches, session, utf8
 from updatelens.session import materialize
 
 FOLDS = 5
@@ -196,10 +196,7 @@ def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     session(docs.sparkSession)
     model = learn(features(docs), labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                x = np.array([statistics(t) for t in batch["text"]])
-                yield batch[model.score(x) >= threshold]
+    def keep(texts: list[str | None]) -> list[bool]:
+        return list(model.score(np.array([statistics(t) for t in texts])) >= threshold)
 
-    return docs.mapInPandas(run, docs.schema)
+    return filter_batches(docs, keep)

@@ -142,7 +142,7 @@ def run_table(docs: DataFrame, task: Task) -> DataFrame:
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("g", "id", "digest", "lo", "hi", "s")}).assign(twice=True)
         at = np.concatenate(owner)
         return pd.DataFrame({
-            "g": np.concatenate(grams), "id": batch["id"].to_numpy()[at], "digest": batch["digest"].to_numpy()[at],
+            "g": np.concatenate(grams), "id": batch["id"].to_numpy(np.int64)[at], "digest": batch["digest"].to_numpy(np.int64)[at],
             "lo": np.concatenate(first), "hi": np.concatenate(last), "s": _signed(content),
             "twice": np.concatenate(inside),
         })
@@ -303,7 +303,7 @@ def remove(docs: DataFrame, task: Task, settle: Callable[[DataFrame], DataFrame]
             sizes.append(part.size)
             spans.append([{"start": a, "end": b} for a, b in removed])
             kept.append(part.without(removed))
-        return pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "size": sizes, "removed": spans, "kept": kept})
+        return pd.DataFrame({"doc_id": batch["doc_id"].array, "size": sizes, "removed": spans, "kept": kept})
 
     schema = "doc_id long, size long, removed array<struct<start:long,end:long>>, kept binary"
     return map_batches(rows, cut, schema)

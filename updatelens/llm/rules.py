@@ -140,7 +140,7 @@ def clean_lines(
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         found: Iterable[dict] = [judge(t, rules) for t in batch["text"]]
         out = pd.DataFrame(found)
-        out["key"] = batch["key"].to_numpy()
+        out["key"] = batch["key"].array
         return out[names]
 
     rows = docs.select(F.col(key).alias("key"), "text")

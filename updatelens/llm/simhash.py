@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from updatelens.llm.common import map_batches, session, utf8
+from updatelens.llm.common import map_batches, session, unused, utf8
 from updatelens.session import materialize
 
 BITS = 64
@@ -286,9 +286,8 @@ def first_of_each(docs: DataFrame, close: Closeness = SIMILAR) -> DataFrame:
     prints, named = _named(docs, close)
     place = F.struct(F.isnull("doc_id").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
     kept = prints.join(named, "node").groupBy("root").agg(F.min(place).alias("k")).select("k.*")
-    kept = kept.select(F.col("none").alias("_none"), F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    keys = ["_none", "_id", "_digest"]
-    marked = docs.select(
-        "*", F.isnull("doc_id").alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.xxhash64("text").alias("_digest")
-    )
+    keys = unused(docs, "_none", "_id", "_digest")
+    kept = kept.select(*[F.col(c).alias(k) for c, k in zip(("none", "id", "digest"), keys)]).distinct()
+    own = (F.isnull("doc_id"), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text"))
+    marked = docs.select("*", *[c.alias(k) for c, k in zip(own, keys)])
     return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
