@@ -7,7 +7,6 @@ import pytest
 from conftest import rows
 
 from updatelens.operators import dedup as D
-from updatelens.options import DedupOptions
 
 START = datetime(2024, 1, 1)
 SCHEMA = (
@@ -68,7 +67,7 @@ def test_all_rules_match_a_sequential_pass(spark, seed):
     batch = random_rows(seed, 70, 1000, 40)
     want = sequential(batch, stored, D.ITEM_RULES, 7)
     stored_df = spark.createDataFrame(stored, SCHEMA) if stored else None
-    kept, dups = D.dedup_items(spark.createDataFrame(batch, SCHEMA), stored_df, DedupOptions(fold_limit=3))
+    kept, dups = D.dedup_items(spark.createDataFrame(batch, SCHEMA), stored_df)
     assert rows(kept, "item_id") == sorted((k,) for k, v in want.items() if v[0] is None)
     got = {r.item_id: (r.reason, r.first_item_id) for r in dups.collect()}
     assert got == {k: v for k, v in want.items() if v[0] is not None}
@@ -81,14 +80,53 @@ def D_stored(seed):
     return [p for p in pool if out[p[0]][0] is None]
 
 
-@pytest.mark.parametrize("fold_limit", [0, 2, 5000])
-def test_title_window_in_folds_and_rounds(spark, fold_limit):
+def test_title_window_of_long_titles(spark):
     batch = random_rows(7, 120, 0, 120, keys=False)
+    batch += [(500 + i, None, None, None, None, "L", START + timedelta(hours=5 * i)) for i in range(400)]
+    batch += [(999, None, None, None, None, "L", datetime(1970, 1, 1))]
     want = sequential(batch, [], D.ITEM_RULES, 7)
-    out = D.dedup_title_window(spark.createDataFrame(batch, SCHEMA), None, DedupOptions(fold_limit=fold_limit))
+    out = D.dedup_title_window(spark.createDataFrame(batch, SCHEMA))
     assert rows(out, "item_id") == sorted((k,) for k, v in want.items() if v[0] is None)
 
 
+def test_a_title_over_ten_years_settles_in_few_jobs(spark):
+    times = spark.range(20_000).selectExpr(
+        "id AS item_id", "'L' AS normalized_title", "timestamp'2014-01-01' + make_dt_interval(0, 0, CAST(id * 263 AS INT)) AS retrieved_at"
+    )
+    old = spark.sql("SELECT -1L AS item_id, 'L' AS normalized_title, timestamp'1970-01-01' AS retrieved_at")
+    batch = times.union(old).selectExpr("*", *[f"CAST(NULL AS STRING) AS {c}" for c in ("source_id", "external_id", "url_hash", "content_hash")])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ten-years", "")
+    kept = D.dedup_title_window(batch).count()
+    jobs = len(tracker.getJobIdsForGroup("ten-years"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want, last = 1, None
+    for i in range(20_000):
+        at = i * 263 * 60
+        if last is None or at > last + 7 * 86400:
+            want, last = want + 1, at
+    assert kept == want
+    assert jobs < 150  # a job for each stage of a written table; 522 weeks do not count
+
+
+def test_blank_keys_lose_no_row(spark):
+    batch = [
+        (1, "s", " ", None, None, "A", START),
+        (2, None, "e", None, None, "A", START),
+        (3, None, None, None, None, "B", START),
+        (4, "s", None, "", None, "A", START),
+        (5, None, "e", None, None, "C", START + timedelta(days=1)),
+        (6, "s", "e", None, None, "C", START),
+        (7, None, None, None, None, "A", START + timedelta(days=1)),
+    ]
+    df = spark.createDataFrame(batch, SCHEMA)
+    kept, dups = D.dedup_items(df)
+    assert rows(kept, "item_id") == [(1,), (2,), (3,), (4,), (6,)]
+    assert rows(dups, "item_id", "reason") == [(5, "external_id"), (7, "title")]
+    found = D.dedup_articles(df)
+    assert sorted(r.item_id for r in found.collect()) == [1, 2, 3, 4, 5, 6, 7]
+
+
 def test_title_window_bounds(spark):
     batch = [(i, None, None, None, None, "T", START + timedelta(days=d)) for i, d in enumerate((0, 6, 7, 8))]
     out = D.dedup_title_window(spark.createDataFrame(batch, SCHEMA))

@@ -25,10 +25,13 @@ _DAY_MICROS = 24 * 60 * 60 * 1_000_000
 
 
 def rule_key(rule: str) -> Column:
-    """Comparison key of one rule; null when the item has no such key."""
+    """Comparison key of one rule; null when the item has nothing to compare by it.
+
+    Items without a source are of one source. A blank key is compared with nothing.
+    """
     if rule == "external_id":
-        key = F.concat_ws("\x1f", F.col("source_id").cast("string"), "external_id")
-        return F.when(~is_blank("external_id") & F.col("source_id").isNotNull(), key)
+        source = F.coalesce(F.concat(F.lit("s"), F.col("source_id").cast("string")), F.lit(""))
+        return F.when(~is_blank("external_id"), F.concat_ws("\x1f", source, "external_id"))
     column = {"url": "url_hash", "content_hash": "content_hash"}[rule]
     return F.when(~is_blank(column), F.col(column))
 
@@ -212,62 +215,75 @@ def settle_titles(keyless: DataFrame, keepers: DataFrame, options: DedupOptions
     # Of items with one title and one time only the first can be kept.
     alive = alive.groupBy("normalized_title", "_b", "retrieved_at").agg(F.min("item_id").alias("item_id"))
     alive = materialize(alive)
-    size = alive.groupBy("normalized_title").agg(F.count("*").alias("n"))
-    light = _fold(alive.join(size.where(F.col("n") <= options.fold_limit), "normalized_title", "left_semi"), days)
-    heavy = size.where(F.col("n") > options.fold_limit)
-    if heavy.isEmpty():
-        return light
-    return light.unionByName(_bucket_rounds(alive.join(heavy, "normalized_title", "left_semi"), days))
-
-
-def _fold(alive: DataFrame, days: int) -> DataFrame:
-    """Walk each short title in time order, keeping an item once the last kept one is out of reach."""
-    seq = F.sort_array(F.collect_list(F.struct("retrieved_at", "item_id")))
-    item_type = alive.schema["item_id"].dataType.simpleString()
-    time_type = alive.schema["retrieved_at"].dataType.simpleString()
-    start = F.struct(
-        F.lit(None).cast(time_type).alias("last"), F.array().cast(f"array<{item_type}>").alias("kept")
-    )
+    return _walk(alive, _next_kept(alive, days))
+
+
+_HOUR_MICROS = 60 * 60 * 1_000_000
 
-    def step(acc: Column, x: Column) -> Column:
-        free = acc["last"].isNull() | (x["retrieved_at"] > acc["last"] + _reach(days))
-        return F.when(
-            free,
-            F.struct(x["retrieved_at"].alias("last"), F.concat(acc["kept"], F.array(x["item_id"])).alias("kept")),
-        ).otherwise(acc)
 
-    walked = alive.groupBy("normalized_title").agg(F.aggregate(seq, start, step, lambda a: a["kept"]).alias("kept"))
-    return walked.select(F.explode("kept").alias("item_id"))
+def _hour(at: Column) -> Column:
+    return F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(_HOUR_MICROS)).cast("bigint")
 
 
-def _bucket_rounds(alive: DataFrame, days: int) -> DataFrame:
-    """Settle long titles one time bucket per round, all titles at once.
+def _next_kept(alive: DataFrame, days: int) -> DataFrame:
+    """(item_id, next_id): if the item is kept, the next kept one of its title, null after the last.
 
-    A bucket keeps at most one item per title: its first item out of reach of the item kept in the
-    bucket before. That is a minimum per title, combined before the shuffle, so a title of any size
-    is never gathered. The number of rounds is the batch's time span in windows.
+    That is the first item out of the item's reach. It is looked for within its hour, where items and the
+    ends of reaches are sorted together, and else in the next hour that has items; a title sends a
+    row for each hour to the second search, however many items it has.
     """
-    low, high = alive.agg(F.min("_b"), F.max("_b")).first()
-    kept: list[DataFrame] = []
-    last = None
-    for bucket in range(low, high + 1):
-        rows = alive.where(F.col("_b") == bucket)
-        if last is not None:
-            rows = lookup(rows, last, ["normalized_title"], F.col("item_id"))
-            rows = rows.where(
-                F.col("last_at").isNull() | (F.col("retrieved_at") > F.col("last_at") + _reach(days))
-            )
-        chosen = materialize(rows.groupBy("normalized_title").agg(F.min(_seq()).alias("k")))
-        kept.append(chosen.select(F.col("k.item_id").alias("item_id")))
-        last = chosen.select("normalized_title", F.col("k.retrieved_at").alias("last_at"))
-    return reduce(DataFrame.unionByName, kept)
+    item = F.struct("retrieved_at", "item_id")
+    own = alive.select("normalized_title", F.col("retrieved_at").alias("at"), item.alias("item"))
+    ends = own.select("normalized_title", (F.col("at") + _reach(days)).alias("at"), F.col("item.item_id").alias("of"))
+    rows = own.unionByName(ends, allowMissingColumns=True).withColumn("hour", _hour(F.col("at")))
+    # From late to early, a reach before the items of its last moment, which it still covers.
+    late = W.partitionBy("normalized_title", "hour").orderBy(F.col("at").desc(), F.col("of").isNull())
+    found = rows.withColumn("next", F.last("item", True).over(late.rowsBetween(W.unboundedPreceding, -1)))
+    found = materialize(found.where("of IS NOT NULL").select("normalized_title", "hour", "of", "next"))
+    # The first item of each hour in which an item lies or a reach ends.
+    firsts = rows.groupBy("normalized_title", "hour").agg(F.min("item").alias("item"))
+    hours = W.partitionBy("normalized_title").orderBy(F.col("hour").desc()).rowsBetween(W.unboundedPreceding, -1)
+    later = firsts.select("normalized_title", "hour", F.last("item", True).over(hours).alias("later"))
+    joined = found.join(later, ["normalized_title", "hour"], "left")
+    return joined.select(F.col("of").alias("item_id"), F.coalesce("next", "later")["item_id"].alias("next_id"))
+
+
+def _walk(alive: DataFrame, following: DataFrame) -> DataFrame:
+    """All items met from the first one of each title: (item_id).
+
+    Jumps of 1, 8, 64, ... items are written until none is left to jump over; marks then
+    spread from the longest jumps to the shortest. Jobs grow with the logarithm of a title's kept items.
+    """
+    jumps = [materialize(following.where("next_id IS NOT NULL"))]
+    while not jumps[-1].isEmpty():
+        one = jumps[-1]
+        far = one
+        for _ in range(3):  # eight of the last jumps
+            step = far.select(F.col("item_id").alias("next_id"), F.col("next_id").alias("then"))
+            far = far.join(step, "next_id").select("item_id", F.col("then").alias("next_id"))
+        jumps.append(materialize(far))
+    first = alive.groupBy("normalized_title").agg(F.min(_seq()).alias("k"))
+    marked = materialize(first.select(F.col("k.item_id").alias("item_id")))
+    for jump in reversed(jumps):
+        reached, front = [marked], marked
+        for _ in range(7):
+            front = front.join(jump, "item_id").select(F.col("next_id").alias("item_id"))
+            reached.append(front)
+        marked = materialize(reduce(DataFrame.union, reached))
+    return marked
 
 
 def has_no_key(rules: tuple[str, ...]) -> Column:
+    """Whether the title rule applies: all keys are null. A blank key, though never compared, turns it off."""
     columns = {"external_id": "external_id", "url": "url_hash", "content_hash": "content_hash"}
     return reduce(lambda a, b: a & b, [F.col(columns[r]).isNull() for r in rules])
 
 
+def is_new(rules: tuple[str, ...]) -> Column:
+    """Items that no rule compares, which are always kept: they have a key, but blank ones only."""
+    return ~has_no_key(rules) & reduce(lambda a, b: a & b, [rule_key(r).isNull() for r in rules])
+
+
 def dedup_title_window(
     batch: DataFrame, stored: DataFrame | None = None, options: DedupOptions = DedupOptions()
 ) -> DataFrame:
@@ -305,9 +321,12 @@ def _dedup(
 ) -> DataFrame:
     keyed_out = settle_keyed(batch, stored, rules)
     names = F.element_at(F.array(*[F.lit(r) for r in rules]), F.col("rule"))
-    keyed_out = materialize(
-        keyed_out.select("item_id", "kept", F.when(~F.col("kept"), names).alias("reason"), "first_item_id")
+    keyed_out = keyed_out.select("item_id", "kept", F.when(~F.col("kept"), names).alias("reason"), "first_item_id")
+    new = batch.where(is_new(rules)).select(
+        "item_id", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason"),
+        F.lit(None).cast(batch.schema["item_id"].dataType).alias("first_item_id"),
     )
+    keyed_out = materialize(keyed_out.unionByName(new))
     keyless = batch.where(has_no_key(rules))
     winners = batch.join(keyed_out.where("kept"), "item_id", "left_semi")
     kept_titles = settle_titles(keyless, _keepers(winners, stored), options)

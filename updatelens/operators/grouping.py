@@ -116,29 +116,27 @@ def window_start(as_of: Column, options: GroupingOptions) -> Column:
 def candidate_updates(
     items: DataFrame, updates: DataFrame, as_of: Column, options: GroupingOptions = GroupingOptions()
 ) -> DataFrame:
-    """The newest updates in the window that share a topic with each item: (item_id, update_id,
-    position). An item's newest candidates are among the newest of each of its topics, so each topic
-    contributes at most ``max_comparisons`` updates and the join grows with the items only.
+    """Updates in the window that share a topic with each item, newest first: (item_id, update_id, position).
+
+    With ``max_comparisons`` only so many of an item's newest candidates are given. They are among the
+    newest of each of its topics, so each topic then contributes no more than that many updates.
     """
     cap = options.max_comparisons
     newest = [F.col("last_observed_at").desc(), F.col("update_id")]
-    recent = (
-        updates.where(F.col("last_observed_at") >= window_start(as_of, options))
-        .select("update_id", "last_observed_at", F.lower("primary_topic").alias("topic"))
-        .withColumn("_n", F.row_number().over(W.partitionBy("topic").orderBy(*newest)))
-        .where(F.col("_n") <= cap)
-        .drop("_n")
+    recent = updates.where(F.col("last_observed_at") >= window_start(as_of, options)).select(
+        "update_id", "last_observed_at", F.lower("primary_topic").alias("topic")
     )
+    if cap is not None:
+        ranked = recent.withColumn("_n", F.row_number().over(W.partitionBy("topic").orderBy(*newest)))
+        recent = ranked.where(F.col("_n") <= cap).drop("_n")
     wanted = items.select(
         "item_id", F.explode_outer(topic_keys(F.col("topics"), F.col("primary_topic"))).alias("topic")
     )
     found = salted_join(wanted, recent, ["topic"], F.col("item_id"))
-    order = W.partitionBy("item_id").orderBy(*newest)
-    return (
-        found.withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= cap)
-        .select("item_id", "update_id", "position")
-    )
+    placed = found.withColumn("position", F.row_number().over(W.partitionBy("item_id").orderBy(*newest)))
+    if cap is not None:
+        placed = placed.where(F.col("position") <= cap)
+    return placed.select("item_id", "update_id", "position")
 
 
 def best_match(scored: DataFrame) -> DataFrame:

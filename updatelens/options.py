@@ -8,9 +8,6 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class DedupOptions:
     title_window_days: int = 7
-    # Titles with at most this many distinct times are settled in one array fold;
-    # longer ones go through the distributed bucket rounds.
-    fold_limit: int = 5_000
 
     def __post_init__(self) -> None:
         if self.title_window_days < 1:
@@ -20,12 +17,14 @@ class DedupOptions:
 @dataclass(frozen=True)
 class GroupingOptions:
     window_hours: int = 168
-    max_comparisons: int = 25
+    # How many of the newest candidates an item is compared with; None means all of them.
+    max_comparisons: int | None = None
     merge_threshold: float = 0.78
     max_attempts: int = 5
 
     def __post_init__(self) -> None:
-        if self.window_hours < 1 or self.max_comparisons < 1 or self.max_attempts < 1:
+        capped = self.max_comparisons is not None and self.max_comparisons < 1
+        if self.window_hours < 1 or capped or self.max_attempts < 1:
             raise ValueError("window_hours, max_comparisons and max_attempts must be positive")
         if not 0.0 < self.merge_threshold <= 1.0:
             raise ValueError("merge_threshold must lie in (0, 1]")

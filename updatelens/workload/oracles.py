@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from updatelens.constants import STOP_WORDS
-from updatelens.workload.adapters import INTERESTS, LEXICON
+from updatelens.workload.adapters import BLANKED, INTERESTS, LEXICON
 
 WS = r"[\s\x0b\p{Z}\x{85}]"
 
@@ -146,9 +146,15 @@ text AS (
   LEFT JOIN notes USING (update_id) LEFT JOIN titles USING (update_id))"""
 
 
+# Keys that are null, blank or without a source.
+BLANKED_KEYS = ", ".join(BLANKED)
+
+
 def _walk(rules: tuple[str, ...], order: str = "retrieved_at, item_id", source: str = "items") -> str:
     """A one-at-a-time pass: each step looks at the next item and the lists of what was kept."""
-    keys = {"external_id": "source_id || chr(31) || external_id", "url": "url_hash", "content_hash": "content_hash"}
+    columns = {"external_id": "external_id", "url": "url_hash", "content_hash": "content_hash"}
+    keys = {r: f"CASE WHEN trim({c}) <> '' THEN {c} END" for r, c in columns.items()}
+    keys["external_id"] = f"(coalesce('s' || source_id, '') || chr(31) || {keys['external_id']})"
     ranks = ", ".join(
         f"CASE WHEN {keys[r]} IS NOT NULL THEN dense_rank() OVER (ORDER BY {keys[r]}) END AS d_{r}" for r in rules
     )
@@ -161,12 +167,12 @@ def _walk(rules: tuple[str, ...], order: str = "retrieved_at, item_id", source:
         for r in rules
     )
     whens = "".join(f" WHEN f_{r} IS NOT NULL THEN '{r}'" for r in rules)
-    keyless = " AND ".join(f"d_{r} IS NULL" for r in rules) or "true"
+    keyless = " AND ".join(f"{columns[r]} IS NULL" for r in rules) or "true"
     first = f"coalesce({', '.join(f'f_{r}' for r in rules)})" if rules else "NULL::BIGINT"
     ranks = f", {ranks}" if ranks else ""
     return f"""ordered AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY {order}) AS n, item_id, epoch(retrieved_at) AS t,
-    dense_rank() OVER (ORDER BY normalized_title) AS d_title{ranks} FROM {source}),
+    dense_rank() OVER (ORDER BY normalized_title) AS d_title, {keyless} AS no_key{ranks} FROM {source}),
 walk AS (
   SELECT 0::BIGINT AS n, NULL::BIGINT AS item_id, NULL::VARCHAR AS reason, NULL::BIGINT AS first_item_id,
     []::STRUCT(k BIGINT, t DOUBLE)[] AS s_title{lists}
@@ -174,7 +180,7 @@ walk AS (
   SELECT n, item_id, reason, first_item_id,
     CASE WHEN reason IS NULL THEN list_append(s_title, {{'k': d_title, 't': t}}) ELSE s_title END{grown}
   FROM (
-    SELECT *, CASE{whens} WHEN {keyless} AND repeated THEN 'title' END AS reason, {first} AS first_item_id
+    SELECT *, CASE{whens} WHEN no_key AND repeated THEN 'title' END AS reason, {first} AS first_item_id
     FROM (
       SELECT o.*, w.s_title{carry}{finds},
         len(list_filter(w.s_title, lambda e: e.k = o.d_title AND e.t <= o.t AND e.t >= o.t - 604800)) > 0 AS repeated
@@ -422,6 +428,10 @@ ORACLES: dict[str, str] = {
     "dedup_items_stored": f"""WITH RECURSIVE {ITEMS}, phased AS (SELECT *, source_id < 'src3' AS late FROM items),
       {_walk(('external_id', 'url', 'content_hash'), 'late, retrieved_at, item_id', 'phased')}
       SELECT item_id, reason FROM walk JOIN phased USING (item_id) WHERE late""",
+    "dedup_items_blank_keys": f"""WITH RECURSIVE {ITEMS}, blanked AS (SELECT * REPLACE ({BLANKED_KEYS}) FROM items),
+      {_walk(('external_id', 'url', 'content_hash'), source='blanked')} SELECT item_id, reason FROM walk WHERE n > 0""",
+    "dedup_articles_blank_keys": f"""WITH RECURSIVE {ITEMS}, blanked AS (SELECT * REPLACE ({BLANKED_KEYS}) FROM items),
+      {_walk(('url', 'content_hash'), source='blanked')} SELECT item_id, reason FROM walk WHERE n > 0""",
     "dedup_articles": f"""WITH RECURSIVE {ITEMS}, {_walk(('url', 'content_hash'))}
       SELECT item_id, reason IS NOT NULL AS is_duplicate, reason, CASE WHEN reason <> 'title' THEN first_item_id END AS existing_item_id
       FROM walk WHERE n > 0""",
@@ -604,6 +614,8 @@ sims AS (
 best AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, update_id) = 1)
 SELECT p.item_id, b.update_id, round(b.s, 9) AS similarity FROM probes p LEFT JOIN (SELECT * FROM best WHERE s >= 0.78) b USING (item_id)"""
 
+ORACLES["assign_to_updates_uncapped"] = ORACLES["assign_to_updates"].replace(" QUALIFY position <= 25", "")
+
 _DESCRIPTORS = """pairs AS (
   SELECT item_id, list_concat(list_transform(range(1, len(tt)), lambda i: tt[i] || ' ' || tt[i + 1]),
     list_transform(range(1, len(ct)), lambda i: ct[i] || ' ' || ct[i + 1])) AS p FROM body),

@@ -413,6 +413,23 @@ def dedup_articles(spark, sf):
     )
 
 
+def _blanked(spark, sf):
+    items = A.items(spark, sf)
+    names = [e.rpartition(" AS ")[2] for e in A.BLANKED]
+    return items.selectExpr(*[c for c in items.columns if c not in names], *A.BLANKED)
+
+
+@query
+def dedup_items_blank_keys(spark, sf):
+    kept, repeats = D.dedup_items(_blanked(spark, sf))
+    return kept.select("item_id").unionByName(repeats.select("item_id", "reason"), allowMissingColumns=True)
+
+
+@query
+def dedup_articles_blank_keys(spark, sf):
+    return D.dedup_articles(_blanked(spark, sf)).select("item_id", "reason")
+
+
 # --- features -------------------------------------------------------------------------------------
 
 
@@ -518,7 +535,7 @@ def cosine_pairs(spark, sf):
 @query
 def candidate_updates(spark, sf):
     probes = _probes(spark, sf)
-    return G.candidate_updates(probes, _as_updates(probes), A.as_of())
+    return G.candidate_updates(probes, _as_updates(probes), A.as_of(), GroupingOptions(max_comparisons=25))
 
 
 @query
@@ -531,6 +548,13 @@ def best_match(spark, sf):
 
 @query
 def assign_to_updates(spark, sf):
+    probes = _probes(spark, sf)
+    found = G.assign_to_updates(probes, _as_updates(probes), A.as_of(), GroupingOptions(max_comparisons=25))
+    return found.select("item_id", "update_id", F.round("similarity", 9).alias("similarity"))
+
+
+@query
+def assign_to_updates_uncapped(spark, sf):
     probes = _probes(spark, sf)
     found = G.assign_to_updates(probes, _as_updates(probes), A.as_of())
     return found.select("item_id", "update_id", F.round("similarity", 9).alias("similarity"))
