@@ -4,11 +4,13 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from updatelens import skew
 from updatelens.skew import lookup, salted_join
 
 
-@pytest.fixture
-def no_broadcast(spark):
+@pytest.fixture(params=[100, 1_000_000])
+def no_broadcast(spark, request, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", request.param)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield spark
@@ -36,3 +38,13 @@ def test_salted_join(no_broadcast):
     out = salted_join(left, other, ["k"], F.col("i"))
     want = sorted((i, key(i), j) for i in range(2000) if key(i) is not None and key(i) % 7 == 0 for j in range(3))
     assert rows(out, "i", "k", "j") == want
+
+
+def test_wide_table_is_not_broadcast(spark, capsys):
+    """Half a million bytes in few rows: the hint is for heavy keys only, the rest is the planner's choice."""
+    left = spark.range(2000).selectExpr("id AS i", "id % 50 AS k")
+    table = spark.range(50).selectExpr("id AS k", "repeat('x', 1000000) AS v")
+    lookup(left, table, ["k"], F.col("i")).explain(True)
+    analyzed = capsys.readouterr().out.partition("== Analyzed")[2].partition("== Optimized")[0]
+    hints = [line for line in analyzed.split("\n") if "ResolvedHint" in line]
+    assert len(hints) == 2  # the heavy keys, and their values

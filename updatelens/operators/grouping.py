@@ -15,7 +15,7 @@ from updatelens.functions.values import observed_at
 from updatelens.operators.features import with_counts
 from updatelens.options import GroupingOptions
 from updatelens.session import materialize
-from updatelens.skew import is_small, lookup, salted_join
+from updatelens.skew import lookup, salted_join
 
 # --- cosine similarity --------------------------------------------------------------------------
 
@@ -71,10 +71,9 @@ def _similarity(
 ) -> DataFrame:
     """Similarity per pair; with ``at_least`` only of pairs that reach it.
 
-    A pair costs far more work than bytes, so a list that is small in bytes is spread over all cores.
+    A pair costs far more work than bytes, so the list, ids only, is spread over all cores first.
     """
-    if is_small(pairs):
-        pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, left_id, right_id)
+    pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, left_id, right_id)
     rows = lookup(pairs, lv, [left_id], F.col(right_id))
     rows = lookup(rows, rv, [right_id], F.col(left_id))
     value = T.let(

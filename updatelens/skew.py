@@ -1,4 +1,9 @@
-"""Joins and aggregations that stay balanced when one key holds a large share of the rows."""
+"""Joins that stay balanced when one key holds a large share of the rows.
+
+Whether a table is broadcast is left to the planner and, at run time, to the measured sizes of
+adaptive execution. What is done here is to take keys with more rows than one task should read out of
+the ordinary shuffle. There are at most ``rows / TASK_ROWS`` of them, which bounds what is broadcast.
+"""
 
 from __future__ import annotations
 
@@ -7,49 +12,39 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key outside the 256 heaviest holds less than 1/256 of the rows, so it fits one task; the 256
-# rows of the heaviest keys are a fixed bound on what is broadcast.
-HEAVY_KEYS = 256
-SALTS = 1024
+TASK_ROWS = 1_000_000  # rows of one key that one task may read
+
 
+def heavy_keys(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """The keys with more rows than a task should read, and ``_salts``, into how many parts theirs are cut.
 
-def heaviest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys with the most rows, at most ``HEAVY_KEYS`` of them."""
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return counted.orderBy(F.col("_n").desc(), *keys).limit(HEAVY_KEYS).select(*keys)
+    ``weight`` names a column of ``rows`` that counts already; then each key has one row.
+    """
+    counted = rows.select(*keys, F.col(weight).alias("_n")) if weight else rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    heavy = counted.where(F.col("_n") > TASK_ROWS)
+    return heavy.select(*keys, F.ceil(F.col("_n") / F.lit(TASK_ROWS)).cast("int").alias("_salts"))
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the planner's size estimate, which starts from file sizes, allows a broadcast."""
-    spark = df.sparkSession
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
+def _part(spread: Column, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(spread), parts).cast("int")
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, weight: str | None = None) -> DataFrame:
     """Left join ``rows`` to ``table``, which has one row per key.
 
-    A table whose checked size allows it is broadcast. Otherwise the values of the heaviest keys reach the rows by a broadcast of at most ``HEAVY_KEYS`` rows; those
-    rows then travel under a salt from ``spread`` so no task receives a whole hot key. All other
-    keys use an ordinary shuffle join. ``weight`` names a column of ``table`` with the number of
-    rows per key; without it the rows are counted.
+    The values of heavy keys reach the rows by a broadcast; those rows then stay out of the shuffle of
+    their key, and rows without a key, which match nothing, are spread too. All other keys use an
+    ordinary join. ``weight`` names a column of ``table`` with the number of rows per key; without it
+    the rows are counted.
     """
     values = [c for c in table.columns if c not in keys and c != weight]
-    if is_small(table):
-        return rows.join(F.broadcast(table.select(*keys, *values)), keys, "left").select(*rows.columns, *values)
-    if weight is not None:
-        heavy = table.orderBy(F.col(weight).desc(), *keys).limit(HEAVY_KEYS)
-    else:
-        heavy = table.join(F.broadcast(heaviest(rows, keys)), keys, "left_semi").limit(HEAVY_KEYS)
-    heavy = heavy.select(*keys, F.struct(*values).alias("_hot"))
+    heavy = heavy_keys(table if weight else rows, keys, weight)
+    facts = table.select(*keys, F.struct(*values).alias("_hot")).join(F.broadcast(heavy), keys)
     rest = table.select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
-    # Rows without a key match nothing; they are spread like hot ones.
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    marked = rows.join(F.broadcast(heavy), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNotNull() | no_key, (F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(SALTS))).cast("int"))
-        .otherwise(F.lit(0)),
+    apart = F.lit(1) + _part(spread, F.coalesce("_salts", F.lit(1 << 10)))
+    marked = rows.join(F.broadcast(facts), keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot").isNotNull() | no_key, apart).otherwise(F.lit(0))
     )
     joined = marked.join(rest, [*keys, "_salt"], "left")
     found = F.coalesce("_hot", "_cold")
@@ -57,22 +52,13 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, w
 
 
 def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
-    """Join many rows to several rows per key, spreading the heaviest keys of ``rows``.
+    """Join many rows to several rows per key, spreading the heavy keys of ``rows``.
 
-    Only the rows of ``other`` under a heavy key are repeated, once per salt. A small ``other``, by
-    its checked size, is broadcast instead.
+    Only the rows of ``other`` under a heavy key are repeated, once for each part.
     """
-    if is_small(other):
-        return rows.join(F.broadcast(other), keys, how)
-    heavy = F.broadcast(heaviest(rows, keys).withColumn("_heavy", F.lit(True)))
-    few = 32
-    salt = (F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(few))).cast("int")
-    salts = F.sequence(F.lit(1), F.lit(few))
-    left = rows.join(heavy, keys, "left").withColumn(
-        "_salt", F.when(F.col("_heavy"), salt).otherwise(F.lit(0))
-    )
-    right = other.join(heavy, keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_heavy"), salts).otherwise(F.array(F.lit(0))))
-    )
-    joined = left.drop("_heavy").join(right.drop("_heavy"), [*keys, "_salt"], how)
+    heavy = F.broadcast(heavy_keys(rows, keys))
+    left = rows.join(heavy, keys, "left").withColumn("_salt", F.coalesce(_part(spread, F.col("_salts")), F.lit(0)))
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = other.join(heavy, keys, "left").withColumn("_salt", F.explode(every))
+    joined = left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how)
     return joined.drop("_salt")
