@@ -120,6 +120,11 @@ def test_resolve_url(spark, ref, url):
         ("2026-09-13T12:00:00.250+02:00", "2026-09-13 10:00:00.25"), ("13 Sep 2026 12:00 GMT", "2026-09-13 12:00:00"),
         ("2026-09-13 12:00:00", "2026-09-13 12:00:00"), ("Wednesday, 9 Sep 2026 01:02:03 GMT", "2026-09-09 01:02:03"),
         ("soon", None), ("", None),
+        ("Sun, 13 Sep 26 12:00:00 GMT", "2026-09-13 12:00:00"),
+        ("13 Sep 74 12:00", "1974-09-13 12:00:00"),
+        ("2026-09-13T12:00:00.1234567Z", "2026-09-13 12:00:00.123456"),
+        ("13 September 2026 12:00", "2026-09-13 12:00:00"),
+        ("1 May 2026 12:00:30 +0200", "2026-05-01 10:00:30"),
     ],
 )
 def test_parse_utc(spark, text, utc):

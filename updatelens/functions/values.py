@@ -24,13 +24,25 @@ TIME_PATTERNS = (
     "d MMM yyyy HH:mm:ss",
     "d MMM yyyy HH:mm",
     "d MMM yyyy",
+    "d MMMM yyyy HH:mm:ss XX",
+    "d MMMM yyyy HH:mm:ss XXX",
+    "d MMMM yyyy HH:mm XX",
+    "d MMMM yyyy HH:mm:ss",
+    "d MMMM yyyy HH:mm",
+    "d MMMM yyyy",
 )
 
 
 def parse_utc(c: Column) -> Column:
-    """ISO-8601 or mail-style time to a UTC timestamp; no offset means UTC; unreadable is null."""
+    """ISO-8601 or mail-style time to a UTC timestamp; no offset means UTC; unreadable is null.
+
+    Fractions are cut to microseconds. Years of two digits lie between 1950 and 2049.
+    """
     text = F.regexp_replace(F.regexp_replace(trim_ws(c), r"^[A-Za-z]{3,9},\s*", ""), r"\s+", " ")
     text = F.regexp_replace(text, r" (GMT|UTC|UT|Z)$", " +0000")
+    text = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
+    text = F.regexp_replace(text, r"^(\d{1,2} [A-Za-z]{3,9}) ([0-4]\d)(?= |$)", "$1 20$2")
+    text = F.regexp_replace(text, r"^(\d{1,2} [A-Za-z]{3,9}) ([5-9]\d)(?= |$)", "$1 19$2")
     return let(text, lambda t: F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in TIME_PATTERNS]))
 
 
