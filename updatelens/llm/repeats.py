@@ -7,9 +7,9 @@ Then:
 1. buckets: runs by q-gram. A q-gram that stands in one run only, and once in it, has no repeated window.
 2. classes: runs of a bucket with the same content. A class settles all windows of its runs at once.
 3. open runs: what their class does not settle may still share single windows with other classes
-   of the bucket. One run of each class of such a bucket gives its text, and windows are compared
-   as strings within the bucket. A bucket with many classes is compared by window digests in
-   a shuffle instead, so no task receives it whole.
+   of the bucket. A run of each class of such a bucket gives its text, and windows are compared
+   by 128-bit digests within the bucket. A bucket of more than ``BUCKET`` classes is compared in a
+   shuffle of its windows instead, so no task receives it whole.
 
 Every step moves rows of runs; only step 3 and the last step move texts, once each, by document.
 """
@@ -151,43 +151,52 @@ def run_table(docs: DataFrame, task: Task) -> DataFrame:
     return map_batches(_keyed(docs).drop("doc_id"), read, schema)
 
 
-def _compare(task: Task) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Windows of a whole bucket compared as strings; gives the repeated ones of open runs."""
-
-    def bucket(rows: list[tuple]) -> Iterator[tuple]:
-        best: dict[bytes, int] = {}
-        cut = []
-        for _, id_, digest, lo, still_open, weight, content in rows:
-            part = _content(task, content)
-            first = np.arange(part.size - task.length + 1)
-            keys = list(part.slices(first, first + task.length - 1))
-            cut.append((id_, digest, lo, still_open, keys))
-            for k in keys:
-                if task.earlier:
-                    best[k] = min(best.get(k, id_), id_)
-                else:
-                    best[k] = best.get(k, 0) + weight
-        for id_, digest, lo, still_open, keys in cut:
-            if still_open:
-                hit = [best[k] < id_ if task.earlier else best[k] > 1 for k in keys]
-                for a, b in _stretches(np.array(hit)):
-                    yield id_, digest, lo + a, lo + b - 1
+def _window_digests(task: Task, content: bytes) -> bytes:
+    """A digest of 16 bytes for each window of a run's content."""
+    part = _content(task, content)
+    first = np.arange(part.size - task.length + 1)
+    return b"".join(map(xxhash.xxh3_128_digest, part.slices(first, first + task.length - 1)))
+
+
+def _marked(rows: pd.DataFrame, task: Task) -> pd.DataFrame:
+    """The repeated windows of the open runs among ``rows``, which hold whole buckets."""
+    digests = [_window_digests(task, c) for c in rows["content"]]
+    times = np.array([len(d) // 16 for d in digests], np.int64)
+    keys = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    owner = np.repeat(np.arange(len(rows)), times)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    same = keys[order]
+    begin = np.flatnonzero(np.concatenate(([True], (same[1:] != same[:-1]).any(axis=1))))
+    group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    ids = rows["id"].to_numpy(np.int64)
+    hit = np.zeros(len(owner), bool)
+    if task.earlier:
+        hit[order] = np.minimum.reduceat(ids[owner[order]], begin)[group] < ids[owner[order]]
+    else:
+        hit[order] = np.add.reduceat(rows["weight"].to_numpy(np.int64)[owner[order]], begin)[group] > 1
+    ends = np.cumsum(times)
+    found = [(k, a, b) for k in np.flatnonzero(rows["open"].to_numpy(bool)) for a, b in _stretches(hit[ends[k] - times[k] : ends[k]])]
+    k, a, b = np.array(found, np.int64).reshape(-1, 3).T
+    lo = rows["lo"].to_numpy(np.int64)[k]
+    return pd.DataFrame({"id": ids[k], "digest": rows["digest"].to_numpy(np.int64)[k], "lo": lo + a, "hi": lo + b - 1})
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
 
-        def give(found: Iterator[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(list(found), columns=["id", "digest", "lo", "hi"])
+def _compare(task: Task) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Comparison of the windows of whole buckets; the rows come sorted by bucket."""
 
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for batch in batches:
-            out: list[tuple] = []
-            for row in batch.itertuples(index=False, name=None):
-                if held and row[0] != held[0][0]:
-                    out += bucket(held)
-                    held = []
-                held.append(row)
-            yield give(iter(out))
-        yield give(bucket(held))
+            g = batch["g"].to_numpy()
+            cut = int(np.searchsorted(g, g[-1]))  # the last bucket may go on
+            if held and held[-1]["g"].iloc[-1] != g[-1]:
+                yield _marked(pd.concat([*held, batch.iloc[:cut]], ignore_index=True), task)
+                held = []
+            elif cut:
+                yield _marked(batch.iloc[:cut].reset_index(drop=True), task)
+            held.append(batch.iloc[cut:])
+        if held:
+            yield _marked(pd.concat(held, ignore_index=True), task)
 
     return compare
 
@@ -234,16 +243,14 @@ def _open_windows(docs: DataFrame, reps: DataFrame, task: Task) -> DataFrame:
     found = near.mapInPandas(_compare(task), "id long, digest long, lo int, hi int")
 
     def spread(batch: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {c: [] for c in ("a", "b", "id", "digest", "lo", "open", "weight")}
-        for _, id_, digest, lo, still_open, weight, content in batch.itertuples(index=False, name=None):
-            part = _content(task, content)
-            first = np.arange(part.size - task.length + 1)
-            for p, k in enumerate(part.slices(first, first + task.length - 1)):
-                h = xxhash.xxh3_128_intdigest(k)
-                for c, v in zip(out, (h >> 64, h & (1 << 64) - 1, id_, digest, lo + p, still_open, weight)):
-                    out[c].append(v)
-        out["a"], out["b"] = _signed(out["a"]), _signed(out["b"])
-        return pd.DataFrame(out)
+        digests = [_window_digests(task, c) for c in batch["content"]]
+        times = np.array([len(d) // 16 for d in digests], np.int64)
+        a, b = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+        owner = np.repeat(np.arange(len(batch)), times)
+        place = np.concatenate([np.arange(n) for n in times])
+        out = {c: batch[c].to_numpy()[owner] for c in ("id", "digest", "lo", "open", "weight")}
+        out["lo"] = out["lo"].astype(np.int64) + place
+        return pd.DataFrame({"a": a, "b": b, **out})
 
     each = map_batches(
         cuts.where("many").drop("many"), spread, "a long, b long, id long, digest long, lo int, open boolean, weight int"
@@ -283,7 +290,13 @@ def repeated(docs: DataFrame, task: Task, settle: Callable[[DataFrame], DataFram
     same = mixed.join(kept, ["g", "s"]).where("id > owner" if task.earlier else "weight > 1")
     settled = plain.select("id", "digest", "g", "s", "lo", "hi").union(same.select("id", "digest", "g", "s", "lo", "hi"))
     wide = classes.groupBy("g").agg(F.max("open").alias("any"), (F.count("*") > BUCKET).alias("many")).where("any")
-    reps = classes.join(wide, "g").select("g", "rep.*", "open", "weight", "many")
+    if task.earlier:  # the first document of a class may hold it at several places
+        own = classes.select("g", "s", F.col("rep.id").alias("owner"), "open", "weight")
+        reps = mixed.join(own, ["g", "s"]).where("id = owner").select("g", "id", "digest", "lo", "hi", "open", "weight")
+        reps = reps.distinct()
+    else:
+        reps = classes.select("g", "rep.*", "open", "weight")
+    reps = reps.join(wide, "g").select("g", "id", "digest", "lo", "hi", "open", "weight", "many")
     found = _open_windows(docs, materialize(reps), task)
     return (settle(settled) if settle else settled).select("id", "digest", "lo", "hi").union(found)
 
