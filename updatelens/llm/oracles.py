@@ -3,3 +3,35 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+# Every window of 50 words of every text, by digest; a word goes if a window over it is older elsewhere.
+ORACLES["op10_passages"] = r"""WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+cut AS (SELECT doc_id, list_transform(range(1, len(ws) - 48), lambda p: md5(array_to_string(ws[p:p + 49], ' '))) AS hs FROM w WHERE len(ws) >= 50),
+win AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS p FROM cut),
+hit AS (SELECT doc_id, p FROM win JOIN (SELECT h, min(doc_id) AS first FROM win GROUP BY h) USING (h) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(p, p + 50)) AS i FROM hit)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+# The same for windows of 200 bytes, read as hexadecimal digits.
+ORACLES["op6_substrings"] = r"""WITH x AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+parts AS (SELECT doc_id, n, list_transform(range(0, n, 100), lambda b: substr(t, 2 * b + 1, 200)) AS bs FROM x WHERE n >= 200),
+cut AS (SELECT doc_id, list_transform(range(0, n - 199), lambda p: md5(substr(
+  bs[p // 100 + 1] || coalesce(bs[p // 100 + 2], '') || coalesce(bs[p // 100 + 3], ''), 2 * (p % 100) + 1, 400))) AS hs FROM parts),
+win AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS p FROM cut),
+hit AS (SELECT doc_id, p FROM win SEMI JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) USING (h)),
+gone AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(p, p + 200)) AS i FROM hit)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) AS b FROM (
+  SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM gone) GROUP BY doc_id, island),
+totals AS (SELECT doc_id, sum(b - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY 1),
+gaps AS (
+  SELECT doc_id, b + 1 AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) - 1 AS b FROM spans
+  UNION ALL SELECT doc_id, 1 AS a, min(a) - 1 AS b FROM spans GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(substr(t, 2 * a - 1, 2 * (coalesce(b, n) - a + 1)), '' ORDER BY a) AS k FROM gaps JOIN x USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN t ELSE k END)) AS kept_sha256
+FROM x LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)"""
