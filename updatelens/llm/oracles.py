@@ -2,8 +2,46 @@
 
 from __future__ import annotations
 
+from updatelens.llm import rules
+
 ORACLES: dict[str, str] = {}
 
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+# Lines by the default rules, then the base counts of the whole text.
+ORACLES["op3_line_rules"] = rf"""WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+split AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
+lines AS (
+  SELECT *, len(ws) AS n, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
+    len(list_filter(ws, lambda w: ends_with(w, '!!'))) AS bangs,
+    len(list_filter(ws, lambda w: w IN ({_quoted(sorted(w.decode() for w in rules._SEPARATORS))}))) AS bars,
+    rtrim(regexp_replace(line, '\s+$', ''), '{"".join(rules._CLOSERS).replace("'", "''")}') AS bare
+  FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM split) WHERE len(ws) > 0),
+judged AS (
+  SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS again,
+    symbols > 0.1 * length(line) OR bangs > 0.5 * n OR bars >= 0.2 * n
+    OR (n <= 20 AND regexp_matches(line, '{"|".join(rules.BOILERPLATE)}', 'i'))
+    OR (n <= 4 AND NOT ({" OR ".join(f"ends_with(bare, '{e}')" for e in rules._ENDS)})) AS failed FROM lines),
+per_doc AS (
+  SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, count(*) FILTER (failed) AS n_lines_removed,
+    coalesce(sum(n) FILTER (failed), 0)::BIGINT AS n_words_removed FROM judged GROUP BY 1),
+win AS (
+  SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, h) AS times FROM (
+    SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS p FROM (
+      SELECT doc_id, list_transform(range(1, len(ws) - 3), lambda p: md5(array_to_string(ws[p:p + 4], ' '))) AS hs FROM d WHERE len(ws) >= 5))),
+repeats AS (SELECT doc_id, count(DISTINCT i) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 5)) AS i FROM win WHERE times > 1) GROUP BY 1),
+counts AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines_removed, 0) AS n_lines_removed,
+    coalesce(n_words_removed, 0) AS n_words_removed
+  FROM d LEFT JOIN per_doc USING (doc_id) LEFT JOIN repeats USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words_removed <= 0.5 * n_words AS kept FROM counts"""
+
 # Every window of 50 words of every text, by digest; a word goes if a window over it is older elsewhere.
 ORACLES["op10_passages"] = r"""WITH w AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

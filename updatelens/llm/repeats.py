@@ -29,7 +29,7 @@ from updatelens.llm import windows
 from updatelens.llm.common import map_batches, session, utf8
 from updatelens.session import materialize
 
-BUCKET = 256  # classes that are compared within one task
+BUCKET = 16_384  # classes that are compared within one task; a class has a few hundred bytes
 NO_ID = (1 << 63) - 1  # a document without an id comes after all others
 SPANS = "array<struct<lo:int,hi:int>>"
 
