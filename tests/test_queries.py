@@ -9,6 +9,8 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry  # noqa: E402
+from updatelens.workload.oracles import ORACLES  # noqa: E402
+from updatelens.workload.queries import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "orders lineitem customer supplier part events documents pages benchmark".split()
@@ -27,6 +29,7 @@ def norm(v):
 
 
 def test_names_agree():
+    assert set(ORACLES) == set(QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

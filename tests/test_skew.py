@@ -40,8 +40,9 @@ def test_salted_join(no_broadcast):
     assert rows(out, "i", "k", "j") == want
 
 
-def test_wide_table_is_not_broadcast(spark, capsys):
+def test_wide_table_is_not_broadcast(spark, capsys, monkeypatch):
     """Half a million bytes in few rows: the hint is for heavy keys only, the rest is the planner's choice."""
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
     left = spark.range(2000).selectExpr("id AS i", "id % 50 AS k")
     table = spark.range(50).selectExpr("id AS k", "repeat('x', 1000000) AS v")
     lookup(left, table, ["k"], F.col("i")).explain(True)

@@ -38,6 +38,8 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, w
     the rows are counted.
     """
     values = [c for c in table.columns if c not in keys and c != weight]
+    if rows.count() <= TASK_ROWS:  # no key can have more
+        return rows.join(table.select(*keys, *values), keys, "left").select(*rows.columns, *values)
     heavy = heavy_keys(table if weight else rows, keys, weight)
     facts = table.select(*keys, F.struct(*values).alias("_hot")).join(F.broadcast(heavy), keys)
     rest = table.select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
@@ -56,6 +58,8 @@ def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: Colu
 
     Only the rows of ``other`` under a heavy key are repeated, once for each part.
     """
+    if rows.count() <= TASK_ROWS:
+        return rows.join(other, keys, how)
     heavy = F.broadcast(heavy_keys(rows, keys))
     left = rows.join(heavy, keys, "left").withColumn("_salt", F.coalesce(_part(spread, F.col("_salts")), F.lit(0)))
     every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
