@@ -170,6 +170,9 @@ def assign_to_updates(
 
 _SLACK = 1e-9
 _COMMON_TOKENS = 4096
+# Texts of a block that a round compares with; one more is read, and a window of up to 1,000 rows is
+# still limited before its shuffle.
+_FIRSTS_MOST = 999
 
 
 def _token_order(vectors: DataFrame) -> DataFrame:
@@ -257,7 +260,7 @@ def _founders(vectors: DataFrame, probes: DataFrame, reps: DataFrame, threshold:
         reps = materialize(reps.join(settled, "id", "left_anti"))
         if probes.isEmpty():
             return reduce(DataFrame.unionByName, founders)
-        few = min(few * 4, _COMMON_TOKENS)
+        few = min(few * 4, _FIRSTS_MOST)
 
 
 def group_items(
@@ -271,12 +274,14 @@ def group_items(
     items: item_id, title, primary_topic, topics, observed_at, received_at. An item joins the most
     similar earlier founder that is inside the window at ``as_of`` and whose topic is among the
     item's, when the similarity reaches the threshold; else it founds an update under its own id.
-    All candidates in the window are compared, there is no cap. ``stored`` updates (update_id,
+    All candidates in the window are compared; a limit in ``options`` is refused. ``stored`` updates (update_id,
     representative_title, primary_topic, last_observed_at) came before the batch and take part.
 
     Returns (updates, links) of the batch: updates with update_id, representative_title, primary_topic,
     first_observed_at, last_observed_at; links with update_id, item_id, similarity.
     """
+    if options.max_comparisons is not None:
+        raise ValueError("a batch is grouped among all candidates; max_comparisons must be None")
     t = options.merge_threshold
     base = _grouping_base(items, as_of, options)
     base = materialize(base)
