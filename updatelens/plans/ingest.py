@@ -40,10 +40,8 @@ def ingest_feeds(
     with what is stored. feeds: source_id, feed_url, payload."""
     changed, unchanged = unchanged_filter(feeds, sources)
     entries, rejects = parse_feeds(changed)
-    entries = materialize(
-        entries.withColumn("retrieved_at", retrieved_at).withColumn(
-            "item_id", item_key(F.col("source_id"), F.col("position"), retrieved_at)
-        )
+    entries = entries.withColumn("retrieved_at", retrieved_at).withColumn(
+        "item_id", item_key(F.col("source_id"), F.col("position"), retrieved_at)
     )
     good, bad = validate_items(entries)
     items = materialize(clean_items(good))

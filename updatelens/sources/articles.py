@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from updatelens import constants as K
 from updatelens.functions import text as T
 from updatelens.functions.values import sha256_upper
+from updatelens.session import materialize
 
 # Elements that carry no article text, elements without an end tag, and elements
 # whose start ends an open paragraph.
@@ -124,9 +125,9 @@ def extract_articles(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Title and text of pages (page_id, url, html). Returns (articles, rejects): a page without a
     usable title or text is a reject."""
     id_type = pages.schema["page_id"].dataType.simpleString()
-    read = pages.select("page_id", "url", "html").mapInPandas(
-        _read, f"page_id {id_type}, url string, title string, text string"
-    )
+    schema = f"page_id {id_type}, url string, title string, text string"
+    # Written, so that taking the two parts apart does not read the pages twice.
+    read = materialize(pages.select("page_id", "url", "html").mapInPandas(_read, schema))
     usable = F.col("title").isNotNull() & F.col("text").isNotNull()
     rejects = read.where(~usable).select("page_id", "url", F.lit("not_extractable").alias("error_code"))
     return read.where(usable), rejects

@@ -15,6 +15,7 @@ from updatelens import constants as K
 from updatelens.functions import text as T
 from updatelens.functions.links import resolve_url
 from updatelens.functions.values import content_hash, parse_utc
+from updatelens.session import materialize
 from updatelens.skew import lookup
 
 _RAW = ["external_id", "link", "title", "excerpt", "published"]
@@ -97,7 +98,8 @@ def parse_feeds(feeds: DataFrame, max_bytes: int = K.FEED_BYTES_MAX) -> tuple[Da
         f"source_id {source_type}, feed_url string, position int, error_code string, external_id string, "
         "link string, title string, excerpt string, published string"
     )
-    read = feeds.where(~big).mapInPandas(_read, raw_schema)
+    # Written, so that taking the two parts apart does not read the documents twice.
+    read = materialize(feeds.where(~big).mapInPandas(_read, raw_schema))
     rejects = read.where("error_code IS NOT NULL").select("source_id", "feed_url", "error_code").unionByName(
         feeds.where(big).select("source_id", "feed_url", F.lit("response_too_large").alias("error_code"))
     )

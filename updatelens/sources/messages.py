@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from updatelens import constants as K
 from updatelens.functions.text import clean_optional, is_blank, let
+from updatelens.session import materialize
 
 # Message fields, required ones first.
 REQUIRED = {"messageId": "message_id", "sourceItemId": "item_id", "correlationId": "correlation_id", "occurredAtUtc": "occurred_at"}
@@ -46,6 +47,9 @@ def read_messages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     judge = let(parts, lambda p: F.struct(p["m"].alias("m"), reason(p["m"], p["names"]).alias("reason")))
     # The outer form keeps the two filters from parsing the text again.
     judged = lines.select("row_id", "body", F.inline_outer(F.array(judge)))
+    kept_body = F.when(F.col("reason").isNotNull(), F.col("body")).alias("body")
+    # Written, so that taking the two parts apart does not read the text twice.
+    judged = materialize(judged.select("row_id", kept_body, "m", "reason"))
     m = F.col("m")
     fields = [
         (clean_optional(m[n]) if n == "traceParent" else m[n]).alias(c) for n, c in {**REQUIRED, **OPTIONAL}.items()
