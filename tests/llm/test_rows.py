@@ -149,6 +149,14 @@ def test_blocks_of_a_page():
     assert pages.extract("plain words only", {"template": [], "region": ""}) == "plain words only"
 
 
+def test_names_of_parts():
+    none = {"template": [], "region": ""}
+    source = '<body class="sidebar"><div class="page has-sidebar"><main><div class="post-header"><h1>Title</h1></div><p>Text.</main>'
+    assert pages.extract(source + '<div class="page-header">Top</div><div id="cookieNotice">We</div></div>', none) == "Title\n\nText."
+    assert pages.extract('<article><p>One.</article><article class="comment"><p>Two.</article>', none) == "One."
+    assert pages.extract('<div class="with-comments"><p>One.</p></div><div class="comments"><p>Two.</div>', none) == "One."
+
+
 def test_tree_matching_counts_common_nodes():
     a, b = pages.parse("<div><p>1<ul><li>x<li>y</ul></div>"), pages.parse("<div><ul><li>z</ul><p>2</div>")
     assert pages._match(a, b, {}) == 1 + 1 + max(2, 1 + 2)  # root, div, and either p with its text or ul, li and its text

@@ -261,7 +261,9 @@ def _named(docs: DataFrame, close: Closeness) -> tuple[DataFrame, DataFrame]:
     roots = components(links(distinct, close)).withColumnRenamed("node", "_node")
     linked = distinct.join(roots, distinct["node"] == roots["_node"], "left")
     linked = linked.select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written, so that the join below can split a component of many nodes.
+    linked = materialize(linked)
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")))
     return prints, materialize(linked.join(least, "root").select("node", "root", "component_id"))
 
 
