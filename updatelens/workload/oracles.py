@@ -616,6 +616,22 @@ SELECT p.item_id, b.update_id, round(b.s, 9) AS similarity FROM probes p LEFT JO
 
 ORACLES["assign_to_updates_uncapped"] = ORACLES["assign_to_updates"].replace(" QUALIFY position <= 25", "")
 
+ORACLES["process_messages"] = """WITH d AS (
+  SELECT doc_id AS n, doc_id::VARCHAR AS item_id, string_split(text, chr(10))[1] AS title,
+    CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) END AS excerpt FROM documents),
+s AS (SELECT *, unnest(CASE WHEN n % 10 = 0 THEN ['m', 'n'] ELSE ['m'] END) AS k FROM d),
+j AS (SELECT *, CASE WHEN n % 17 = 0 THEN 'malformed' WHEN n % 13 = 0 THEN 'item_missing' WHEN n % 11 = 0 THEN 'reference_mismatch'
+  WHEN n % 9 = 0 THEN 'item_terminal' WHEN n % 23 = 0 OR k = 'n' THEN 'already_accepted' ELSE 'accepted' END AS disposition FROM s),
+o AS (SELECT *, CASE WHEN disposition = 'accepted' THEN CASE WHEN n % 7 = 0 THEN 'SkippedAlreadyHandled' ELSE 'Grouped' END END AS outcome,
+  length(title) > 512 OR length(coalesce(excerpt, '')) > 4000 AS long FROM j),
+done AS (SELECT item_id, bool_or(outcome = 'Grouped') AS due FROM o GROUP BY 1)
+SELECT k || item_id AS row_id, disposition, outcome,
+  CASE WHEN n % 17 = 0 OR n % 13 = 0 THEN NULL WHEN n % 9 = 0 THEN 'Processed' WHEN due AND long THEN 'FailedTerminal'
+    WHEN due THEN 'Processed' ELSE 'Queued' END AS status,
+  CASE WHEN n % 17 = 0 OR n % 13 = 0 THEN NULL WHEN due AND long THEN 1 ELSE 0 END AS failure_count,
+  CASE WHEN n % 17 <> 0 AND n % 13 <> 0 AND due AND long THEN 'IntelligenceValidation' END AS last_failure_code
+FROM o JOIN done USING (item_id)"""
+
 _DESCRIPTORS = """pairs AS (
   SELECT item_id, list_concat(list_transform(range(1, len(tt)), lambda i: tt[i] || ' ' || tt[i + 1]),
     list_transform(range(1, len(ct)), lambda i: ct[i] || ' ' || ct[i + 1])) AS p FROM body),

@@ -21,6 +21,7 @@ from updatelens.operators import scoring as S
 from updatelens.operators import state as H
 from updatelens.options import BriefOptions, GroupingOptions
 from updatelens.plans import brief as brief_plan
+from updatelens.plans import messages as message_plan
 from updatelens.plans import relevance
 from updatelens.session import materialize, scratch_dir
 from updatelens.sources import articles, feeds, messages, sinks
@@ -608,6 +609,34 @@ def commit_outcomes(spark, sf):
     return G.commit_outcomes(receipts, known, linked)
 
 
+@query
+def process_messages(spark, sf):
+    """Messages about documents: cut off, naming no item or another source, repeated, of final or linked items."""
+    every = A.raw_items(spark, sf).selectExpr(
+        "*", "item_id AS n", "CASE WHEN item_id % 9 = 0 THEN 'Processed' ELSE 'Queued' END AS status",
+        "0 AS failure_count", "CAST(NULL AS STRING) AS last_failure_code",
+    ).withColumn("item_id", F.col("item_id").cast("string"))
+    body = (
+        "concat('{\"messageId\":\"', k, item_id, '\",\"sourceItemId\":\"', item_id, '\",\"correlationId\":\"c\",', "
+        "'\"sourceId\":\"', CASE WHEN n % 11 = 0 THEN 'other' ELSE source_id END, '\",\"occurredAtUtc\":\"2024-01-02T00:00:00Z\"}')"
+    )
+    sent = every.selectExpr("*", "explode(CASE WHEN n % 10 = 0 THEN array('m', 'n') ELSE array('m') END) AS k")
+    lines = sent.selectExpr("concat(k, item_id) AS row_id", f"CASE WHEN n % 17 = 0 THEN left({body}, 30) ELSE {body} END AS body")
+    box = sent.selectExpr(
+        "concat(k, item_id) AS message_id", "item_id", "source_id", "CAST(NULL AS STRING) AS run_id", "'c' AS correlation_id",
+        "timestamp'2024-01-02 00:00:00' AS created_at", "'Dispatched' AS status",
+    )
+    known = every.where("n % 13 <> 0")
+    linked = every.where("n % 7 = 0").select("item_id")
+    received = every.where("n % 23 = 0").select("item_id")
+    result = message_plan.process_messages(lines, known, box, received, linked, A.as_of(), lexicon=A.LEXICON)
+    states = result.states.select("item_id", "status", "failure_count", "last_failure_code")
+    outcomes = result.outcomes.select("row_id", "outcome")
+    return result.dispositions.join(outcomes, "row_id", "left").join(states, "item_id", "left").select(
+        "row_id", "disposition", "outcome", "status", "failure_count", "last_failure_code"
+    )
+
+
 # --- scoring --------------------------------------------------------------------------------------
 
 
