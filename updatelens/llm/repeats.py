@@ -29,7 +29,8 @@ from updatelens.llm import windows
 from updatelens.llm.common import map_batches, session, utf8
 from updatelens.session import materialize
 
-BUCKET = 16_384  # classes that are compared within one task; a class has a few hundred bytes
+# Classes that are compared within one task; at a few hundred bytes and windows each, about 100 MB.
+BUCKET = 16_384
 NO_ID = (1 << 63) - 1  # a document without an id comes after all others
 SPANS = "array<struct<lo:int,hi:int>>"
 
