@@ -137,6 +137,7 @@ def deterministic_composer(inputs: DataFrame) -> DataFrame:
     titles = _distinct_text(F.transform("sources", lambda s: s["title"]))
     names = _distinct_text(F.transform("interests", lambda i: i["name"]))
     summary = F.array_join(F.when(F.size(excerpts) > 0, excerpts).otherwise(titles), " ")
+    # The two sentences on relevance.
     why = F.when(
         F.size(names) > 0,
         F.concat(F.lit("Relevant to your interests: "), F.array_join(names, ", "), F.lit(".")),
