@@ -194,6 +194,11 @@ def settle_titles(keyless: DataFrame, keepers: DataFrame, options: DedupOptions
     days = options.title_window_days
     cols = ["normalized_title", "_b"]
     mine = keyless.select("item_id", "retrieved_at", "normalized_title", _bucket(days).alias("_b"))
+    earliest = mine.agg(F.min("retrieved_at")).first()[0]
+    if earliest is None:
+        return keyless.select("item_id")
+    # Older kept items are out of everyone's reach; a stored table need not be read so far back.
+    keepers = keepers.where(F.col("retrieved_at") >= F.lit(earliest) - _reach(days))
     other = keepers.select("item_id", "retrieved_at", "normalized_title", "stored", _bucket(days).alias("_b"))
     titles = mine.groupBy(*cols).agg(F.count("*").alias("n"))
     # Kept items matter per title and bucket only by their first and last time.

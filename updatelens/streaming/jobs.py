@@ -26,14 +26,8 @@ Prepare = Callable[[DataFrame], DataFrame]
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Store a micro-batch's rows under its id, replacing an earlier attempt."""
-    (
-        df.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+    """Store a micro-batch's rows under its id, replacing an earlier attempt, also by no rows."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def before_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -47,8 +41,17 @@ def read_tables(spark: SparkSession, folder: str, name: str, schema) -> DataFram
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
+# Everything there is, then stop. Pass {"processingTime": "1 minute"} and the like to go on.
+ONCE = {"availableNow": True}
+
+
 def store_items(
-    stream: DataFrame, path: str, checkpoint: str, prepare: Prepare, options: DedupOptions = DedupOptions()
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    prepare: Prepare,
+    options: DedupOptions = DedupOptions(),
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
     """Prepare each micro-batch as items, drop repeats within it and of stored items, store the rest."""
 
@@ -60,7 +63,7 @@ def store_items(
     return (
         stream.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -85,6 +88,7 @@ def store_groups(
     grouping: GroupingOptions = GroupingOptions(),
     scoring: ScoringOptions = ScoringOptions(),
     lexicon: list[str] | None = None,
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
     """Group each micro-batch of items with the stored updates and re-score what it touched.
 
@@ -98,7 +102,7 @@ def store_groups(
     return (
         stream.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -151,7 +155,7 @@ def newest_scores(log: DataFrame) -> DataFrame:
     return last.select("update_id", F.col("m.score").alias("score"), F.col("m.meets_threshold").alias("meets_threshold"))
 
 
-def store_latest_feedback(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def store_latest_feedback(stream: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE) -> StreamingQuery:
     """Keep the current feedback per update in streaming state and log each change.
 
     ``newest_feedback`` reads the log."""
@@ -162,7 +166,7 @@ def store_latest_feedback(stream: DataFrame, path: str, checkpoint: str) -> Stre
     return (
         latest_feedback(stream).writeStream.outputMode("update").foreachBatch(run)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
