@@ -28,6 +28,7 @@ BITS = 64
 TILE = 4096  # rows of one side of a comparison
 WIDE_TILE = 32_768  # the same where nearly all tiles meet, which sends a row to fewer comparisons
 STEP = 100_000  # shingles hashed at once
+NEAR = 1 << 17  # pairs compared at once, about a megabyte of differences
 
 
 @dataclass(frozen=True)
@@ -128,11 +129,13 @@ def _forest(left: np.ndarray, right: np.ndarray, close: Closeness) -> tuple[np.n
     both = np.concatenate((left, right))
     label = np.arange(len(both))
     one, other = np.ascontiguousarray(left[:, 1]), np.ascontiguousarray(right[:, 1])
-    rows = max(1, (1 << 20) // len(right))
+    rows = max(1, NEAR // len(right))
     for at in range(0, len(left), rows):
         near = np.bitwise_count(one[at : at + rows, None] ^ other[None, :]) <= close.radius
-        i, j = np.nonzero(near)
-        i, j = i + at, j + len(left)
+        found = np.flatnonzero(near.ravel())
+        if not len(found):
+            continue
+        i, j = found // len(right) + at, found % len(right) + len(left)
         if close.check_width and len(i):
             same = np.bitwise_count(both[i, 2:] ^ both[j, 2:]).sum(axis=1, dtype=np.int64) <= close.check_bits
             i, j = i[same], j[same]
