@@ -91,6 +91,54 @@ def test_first_of_each(odd_docs, spark):
     assert sorted(r.doc_id for r in S.first_of_each(docs).collect()) == [1, 3]
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_similar_texts_equal_all_jaccards(spark):
+    rows = []
+    for n in range(60):
+        words = prose(600 + n, (60, 200, 600)[n % 3]).split()
+        size = len(words)
+        more = prose(700 + n, size).split()
+        # A block at the end, a block replaced, and scattered words, each just above and just below 0.8.
+        k = int(size * (0.235 if n % 2 else 0.27))
+        block = int(size * (0.095 if n % 2 else 0.13))
+        spots = set(range(7, size, 52 if n % 2 else 38))
+        other = [
+            words + more[:k],
+            words[:20] + more[:block] + words[20 + block :],
+            ["other" if i in spots else w for i, w in enumerate(words)],
+        ][n // 3 % 3]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(other) + (" x y z" * 9 if n % 5 == 0 else ""))]
+    want = []
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2]):
+        one, two = shingles(a), shingles(b)
+        same = len(one & two) / len(one | two) >= 0.8
+        want += [(i, i), (j, i if same else j)]
+    assert 15 < sum(i != c for i, c in want) < 45
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in S.near_duplicates(docs, S.SIMILAR).collect()) == want
+    assert sorted(r.doc_id for r in S.first_of_each(docs).collect()) == sorted({c for _, c in want})
+
+
+def test_sets_of_one_root_in_many_chunks(spark, monkeypatch):
+    base = prose(800, 300).split()
+    rows = [(n, " ".join(["new" + str(n)] * (n // 2) + base[n // 2 :])) for n in range(60)]
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    docs = spark.createDataFrame(rows + [(60, None), (61, " "), (None, rows[0][1])], "doc_id long, text string")
+    monkeypatch.setattr(S, "SETS", 7)
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, S.SIMILAR).collect()}
+    assert [got[n] for n in range(60)] == group and got[61] == got[60] == 60 and got[None] == group[0]
+
+
 def edit_distance_within(segment, text):
     """Fewest edits of the segment against any substring, by the full table."""
     row = [0] * (len(text) + 1)

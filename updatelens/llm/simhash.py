@@ -6,6 +6,9 @@ radius differ by at most the radius in the sum of those counts, so all other til
 skipped; the remaining ones are compared whole by exclusive-or and bit counts. A tile of more
 rows than fit a comparison is cut into chunks, each pair of which is compared. A comparison returns
 a spanning forest of the links it found, which keeps every connection.
+
+Where texts are to share a stated part of their shingles, such links only propose: the texts that they
+connect are compared by their whole sets of shingles, and sets that agree in that part are linked.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from updatelens.llm.common import map_batches, session, unused, utf8
+from updatelens.llm.common import attach, map_batches, session, unused, utf8
 from updatelens.session import materialize
 
 BITS = 64
@@ -29,34 +32,70 @@ TILE = 4096  # rows of one side of a comparison
 WIDE_TILE = 32_768  # the same where nearly all tiles meet, which sends a row to fewer comparisons
 STEP = 100_000  # shingles hashed at once
 NEAR = 1 << 17  # pairs compared at once, about a megabyte of differences
+SETS = 1024  # sets of one side of a comparison of sets
+SET_SIZE = 1 << 19  # shingles of one side of a comparison of sets
 
 
 @dataclass(frozen=True)
 class Closeness:
     """When two texts are linked: fingerprints of shingles of ``width`` words within ``radius`` bits
-    and, if ``check_width`` is given, a longer sketch of shingles of that many words within ``check_bits``."""
+    and, if ``check_width`` is given, a longer sketch of shingles of that many words within ``check_bits``.
+
+    With ``share``, these are the sketches of the set of shingles of ``width`` words and only propose;
+    texts are linked whose sets have a Jaccard similarity of ``share`` or more."""
 
     width: int = 3
     radius: int = 2
     check_width: int = 0
     check_bits: int = 0
+    share: float = 0.0
 
 
-# Shingles of five words that agree in 0.8 or more differ in about 39 of 256 bits, with a spread of 6.
-SIMILAR = Closeness(width=3, radius=12, check_width=5, check_bits=48)
+# Sets that agree in 0.8 differ in about 10 of 64 bits (spread 3) and 39 of 256 (spread 6), the shortest in 12 and 48.
+SIMILAR = Closeness(width=5, radius=24, check_width=5, check_bits=80, share=0.8)
 CHECKS = ["c0", "c1", "c2", "c3"]
 
 
+def _shingles(words: list[bytes], width: int) -> tuple[bytes, list[int], list[int]]:
+    """The words in one, and where each shingle of ``width`` words begins and ends in it."""
+    whole = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    width = min(width, len(words))
+    return whole, starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The digests of the different shingles of ``width`` words of a text, ascending; a 0 without words."""
+    words = utf8(text).lower().split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    whole, first, last = _shingles(words, width)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(whole[a:b], 42) for a, b in zip(first, last)), np.uint64, len(first)))
+
+
+def set_sketch(values: np.ndarray, seeds: int = 5) -> list[int]:
+    """SimHash of a set of digests, 64 bits for each of ``seeds`` ways to mix them."""
+    out = []
+    for seed in range(seeds):
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(values), STEP):
+            x = values[at : at + STEP] + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            ones += np.unpackbits(x.view(np.uint8)).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(values)).tobytes(), "big", signed=True))
+    return out
+
+
 def sketch(text: str | None, width: int, seeds: tuple[int, ...] = (42,)) -> list[int]:
     """SimHash of the shingles of ``width`` words of a text, 64 bits for each seed; 0 without words."""
     words = utf8(text).lower().split()
     if not words:
         return [0] * len(seeds)
-    whole = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(width, len(words))
-    first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
+    whole, first, last = _shingles(words, width)
     ones = np.zeros((len(seeds), BITS), np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(first), STEP):
@@ -74,7 +113,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 def fingerprints(docs: DataFrame, close: Closeness = Closeness()) -> DataFrame:
     """doc_id, a digest of the text, ``fp``, the fingerprint as a signed long, and ``node`` of every row.
 
-    With a longer sketch, c0 to c3 hold it; ``node`` names fingerprint and sketch together.
+    With a longer sketch, c0 to c3 hold it; ``node`` names fingerprint and sketch together, or the
+    set of shingles where sets are compared.
     """
     checks = CHECKS if close.check_width else []
 
@@ -85,9 +125,17 @@ def fingerprints(docs: DataFrame, close: Closeness = Closeness()) -> DataFrame:
             batch[checks] = np.array(found, np.int64).reshape(-1, len(checks))
         return batch[["doc_id", "digest", "fp", *checks]]
 
+    def run_sets(batch: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingle_set(t, close.width) for t in batch["text"]]
+        batch[["fp", *CHECKS]] = np.array([set_sketch(s) for s in sets], np.int64).reshape(-1, 1 + len(CHECKS))
+        batch["node"] = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        return batch[["doc_id", "digest", "fp", *CHECKS, "node"]]
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
     schema = ", ".join([f"doc_id {kind}, digest long, fp long", *(f"{c} long" for c in checks)])
+    if close.share:
+        return map_batches(rows, run_sets, f"{schema}, node long")
     node = F.xxhash64("fp", *checks) if checks else F.col("fp")
     return map_batches(rows, run, schema).withColumn("node", node)
 
@@ -154,19 +202,46 @@ def _forest(left: np.ndarray, right: np.ndarray, close: Closeness) -> tuple[np.n
     return a[a != b], b[a != b]
 
 
-def _compare(close: Closeness, values: list[str]):
-    """Comparison of sorted runs of rows with equal pair keys; a run may go on in the next batch."""
+def _set_forest(left: np.ndarray, right: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between two lists of rows (node, set) that connect all sets that agree in ``share`` or more."""
+    nodes = np.concatenate((left[:, 0], right[:, 0])).astype(np.int64)
+    sets = [*left[:, 1], *right[:, 1]]
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    n = len(left)
+    others, begin, theirs = number[starts[n] :], starts[n:] - starts[n], sizes[n:]
+    mine = np.zeros(int(number.max()) + 1, bool)
+    _, label = np.unique(nodes, return_inverse=True)
+    a, b = [], []
+    for i in range(n):
+        own = number[starts[i] : starts[i] + sizes[i]]
+        mine[own] = True
+        common = np.add.reduceat(mine[others], begin, dtype=np.int64)
+        mine[own] = False
+        near = n + np.flatnonzero(common >= share * (sizes[i] + theirs - common) - 1e-9)
+        groups, one = np.unique(label[near], return_index=True)
+        new = groups != label[i]
+        if new.any():
+            a += [nodes[i]] * int(new.sum())
+            b += nodes[near[one[new]]].tolist()
+            label[np.isin(label, groups)] = label[i]
+    return np.array(a, np.int64).view(np.uint64), np.array(b, np.int64).view(np.uint64)
+
+
+def _compare(forest, values: list[str]):
+    """``forest`` of sorted runs of rows with equal pair keys; a run may go on in the next batch."""
 
     def emit(run: pd.DataFrame) -> pd.DataFrame:
         low = run["side"].to_numpy() == 0
-        rows = run[values].to_numpy().view(np.uint64)
+        rows = run[values].to_numpy()
         edges = np.flatnonzero(np.any(np.diff(run[["p", "ca", "cb"]].to_numpy(), axis=0) != 0, axis=1)) + 1
         none = np.zeros(0, np.uint64)
         found = [(none, none)]
         for a, b in zip([0, *edges], [*edges, len(run)]):
             left, right = rows[a:b][low[a:b]], rows[a:b][~low[a:b]]
             if len(left) and len(right):
-                found.append(_forest(left, right, close))
+                found.append(forest(left, right))
         a, b = (np.concatenate(x) for x in zip(*found))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
@@ -216,7 +291,49 @@ def links(distinct: DataFrame, close: Closeness) -> DataFrame:
     )
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = first.union(second).repartition(tasks, "p", "ca", "cb").sortWithinPartitions("p", "ca", "cb")
-    return dealt.mapInPandas(_compare(close, values), "a long, b long").distinct()
+
+    def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _forest(left.view(np.uint64), right.view(np.uint64), close)
+
+    return dealt.mapInPandas(_compare(forest, values), "a long, b long").distinct()
+
+
+def set_links(docs: DataFrame, prints: DataFrame, proposed: DataFrame, close: Closeness) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose sets of shingles agree in ``close.share`` or more,
+    among the nodes with one root in ``proposed`` (node, root).
+
+    A set is made from one text of each such node. All sets of a root are compared; those of a root with
+    many are cut into chunks, each pair of which is compared.
+    """
+    spark = session(docs.sparkSession)
+    chosen = prints.join(proposed, "node").groupBy("node", "root").agg(F.min(F.struct("digest", "doc_id")).alias("k"))
+    chosen = materialize(chosen.select("k.digest", F.col("k.doc_id").alias("_first"), "node", "root"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    rows = attach(rows, chosen, "digest", F.col("doc_id")).where("node IS NOT NULL AND doc_id <=> _first")
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        batch["words"] = [shingle_set(t, close.width).view(np.int64) for t in batch["text"]]
+        return batch[["node", "root", "words"]]
+
+    sets = map_batches(rows.select("node", "root", "text"), run, "node long, root long, words array<long>")
+    sets = materialize(sets.groupBy("node", "root").agg(F.first("words").alias("words")))
+    many = F.greatest(F.ceil(F.count("*") / F.lit(SETS)), F.ceil(F.sum(F.size("words")) / F.lit(SET_SIZE))).cast("int")
+    cut = attach(sets, materialize(sets.groupBy("root").agg(many.alias("chunks"))), "root", F.col("node"))
+    cut = cut.withColumn("at", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
+    first = cut.select(
+        F.col("root").alias("p"), F.col("at").alias("ca"),
+        F.explode(F.sequence(F.col("at"), F.col("chunks") - 1)).alias("cb"), F.lit(0).alias("side"), "node", "words",
+    )
+    second = cut.select(
+        F.col("root").alias("p"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("ca"), F.col("at").alias("cb"),
+        F.lit(1).alias("side"), "node", "words",
+    )
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = first.union(second).repartition(tasks, "p", "ca", "cb").sortWithinPartitions("p", "ca", "cb")
+    share = close.share
+    return dealt.mapInPandas(
+        _compare(lambda left, right: _set_forest(left, right, share), ["node", "words"]), "a long, b long"
+    ).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -261,7 +378,10 @@ def _named(docs: DataFrame, close: Closeness) -> tuple[DataFrame, DataFrame]:
     values = [c for c in prints.columns if c not in ("doc_id", "digest", "node")]
     distinct = prints.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.min(c).alias(c) for c in values])
     distinct = materialize(distinct)
-    roots = components(links(distinct, close)).withColumnRenamed("node", "_node")
+    roots = components(links(distinct, close))
+    if close.share:
+        roots = components(set_links(docs, prints, roots, close))
+    roots = roots.withColumnRenamed("node", "_node")
     linked = distinct.join(roots, distinct["node"] == roots["_node"], "left")
     linked = linked.select("node", "first", F.coalesce("root", "node").alias("root"))
     # Written, so that the join below can split a component of many nodes.
