@@ -195,3 +195,25 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     monkeypatch.setattr(D, "PIECE", 64)
     for before in range(0, 120, 7):
         assert index.leaks(D.normal("w" * before + " " + item + " " + prose(2, 50))) == [1]
+
+
+def test_every_stretch_of_an_item_is_a_leak():
+    item = D.normal(prose(900, 40))
+    index = D.Index([(1, item)], D.Leak())
+    around = (prose(901, 20) + " q", "q " + prose(902, 20))
+    for at in range(len(item) - 79):
+        shown = item[at : at + 80].decode()
+        assert index.leaks(D.normal(shown.join(around))) == [1]
+        assert index.leaks(D.normal(shown[:40].join(around))) == []
+    rng = random.Random(5)
+    for at in range(3, len(item) - 79, 23):
+        text = D.normal(mutated(item[at : at + 80].decode(), 7, rng).join(around))
+        near = any(edit_distance_within(s, text) <= 8 for s in D.Leak().segments(item[max(0, at - 2) : at + 82]))
+        assert near and index.leaks(text) == [1]
+
+
+def test_short_items_are_whole_words():
+    index = D.Index([(1, b"tiny"), (2, b"short one here"), (3, b""), (4, b"a b"), (5, b"tiny"), (2, b"short one here")], D.Leak())
+    assert index.leaks(b"some tiny thing") == [1, 5] and index.leaks(b"tinyish atiny") == []
+    assert index.leaks(b"short one here") == [2] and index.leaks(b"short one hereby a b") == [4]
+    assert index.leaks(b"") == []

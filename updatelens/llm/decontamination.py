@@ -1,9 +1,9 @@
 """Benchmark decontamination by q-gram counts in diagonal bands and banded alignment.
 
-A benchmark item is cut into overlapping segments. A place of a text within ``k`` edits of a segment
-of ``m`` characters shares at least ``m - q + 1 - k * q`` q-grams with it, all near one diagonal.
-Shared q-grams are counted in diagonal bands that overlap by half, so each such place lies
-whole within one band; bands that reach the bound are verified by an alignment within the band.
+Every stretch of ``m`` characters of a benchmark item is a segment. A place of a text within ``k`` edits
+of a segment shares at least ``m - q + 1 - k * q`` q-grams with it, all near one diagonal.
+Q-grams shared with whole items are counted in diagonal bands that overlap by half, so each such place
+lies whole within one band; segments that reach the bound in a band are verified by an alignment within it.
 
 Texts are compared as the UTF-8 bytes of their lower-case letters and digits, other ASCII characters
 being one space.
@@ -35,25 +35,23 @@ def normal(text: str | None) -> bytes:
 
 @dataclass(frozen=True)
 class Leak:
-    """What counts as a leak: a segment of ``segment`` characters, or a shorter item of at least
-    ``least``, within ``rate`` edits a character. Segments start every ``step`` characters and at the
-    item's end. An item below ``least`` characters is looked for as a whole without edits."""
+    """What counts as a leak: any ``segment`` characters of an item, or a shorter item of at least
+    ``least``, within ``rate`` edits a character. An item below ``least`` characters is looked for as
+    a whole, between words and without edits."""
 
     segment: int = 80
-    step: int = 40
     least: int = 40
     rate: float = 0.1
 
     def segments(self, item: bytes) -> list[bytes]:
         if len(item) <= self.segment:
-            return [item] if len(item) >= GRAM else []
-        starts = [*range(0, len(item) - self.segment, self.step), len(item) - self.segment]
-        return [item[s : s + self.segment] for s in starts]
+            return [item] if item else []
+        return [item[s : s + self.segment] for s in range(len(item) - self.segment + 1)]
 
     def edits(self, m: int) -> int:
         """The budget, cut to what the q-gram bound can still see."""
         k = int(m * self.rate) if m >= self.least else 0
-        return min(k, (m - GRAM) // GRAM)
+        return max(0, min(k, (m - GRAM) // GRAM))
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -97,18 +95,18 @@ def aligned(segments: list[bytes], text: bytes, diagonals: np.ndarray, band: int
 
 
 class Index:
-    """Segments of a block of benchmark items with a filter and postings of their q-grams."""
+    """A block of benchmark items with a filter and postings of their q-grams; short items by their first word."""
 
     def __init__(self, items: list[tuple[int, bytes]], leak: Leak):
         self.leak = leak
-        self.segments: list[tuple[int, bytes, int]] = []
-        seen: set[tuple[int, bytes]] = set()
-        for item_id, data in items:
-            for s in leak.segments(data):
-                if (item_id, s) not in seen:
-                    seen.add((item_id, s))
-                    self.segments.append((item_id, s, leak.edits(len(s))))
-        gram = [grams(s) for _, s, _ in self.segments]
+        self.short: dict[bytes, list[tuple[int, bytes]]] = {}
+        self.items: list[tuple[int, bytes]] = []
+        for item_id, data in dict.fromkeys(items):
+            if len(data) >= max(leak.least, GRAM):
+                self.items.append((item_id, data))
+            elif data:
+                self.short.setdefault(data.split(b" ")[0], []).append((item_id, b" " + data + b" "))
+        gram = [grams(data) for _, data in self.items]
         owner = np.repeat(np.arange(len(gram)), [len(g) for g in gram])
         place = np.concatenate([np.arange(len(g)) for g in gram]) if gram else np.zeros(0, np.int64)
         value = np.concatenate(gram) if gram else np.zeros(0, np.uint64)
@@ -117,9 +115,10 @@ class Index:
         self.values, self.first, self.times = np.unique(value[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self._spot(self.values)] = True
-        lengths = np.array([len(s) for _, s, _ in self.segments], np.int64)
-        self.budgets = np.array([k for _, _, k in self.segments], np.int64)
-        self.bounds = lengths - GRAM + 1 - GRAM * self.budgets
+        lengths = np.array([len(data) for _, data in self.items], np.int64)
+        self.sizes = np.minimum(lengths, leak.segment)
+        self.budgets = np.array([leak.edits(m) for m in self.sizes.tolist()], np.int64)
+        self.bounds = self.sizes - GRAM + 1 - GRAM * self.budgets
         # Half a band holds all diagonals of one place: twice the edits, and one more.
         self.half = 2 * (int(self.budgets.max()) if len(self.budgets) else 0) + 1
         self.margin = (int(lengths.max()) if len(lengths) else 0) // self.half + 1
@@ -131,10 +130,14 @@ class Index:
     def leaks(self, text: bytes) -> list[int]:
         """The items of which a segment is in the text. Long texts are read in pieces that overlap by
         more than a segment with its edits."""
-        if not self.segments:
-            return []
-        over = 2 * (self.margin + 1) * self.half
         found: set[int] = set()
+        if self.short:
+            whole = b" " + text + b" "
+            for word in self.short.keys() & set(text.split(b" ")):
+                found |= {item_id for item_id, data in self.short[word] if data in whole}
+        if not self.items:
+            return sorted(found)
+        over = 2 * (self.leak.segment + 2 * self.half)
         for start in range(0, max(1, len(text) - over), PIECE):
             found |= self._leaks(text[start : start + PIECE + over])
         return sorted(found)
@@ -163,22 +166,43 @@ class Index:
         follow = np.append(np.diff(halves) == 1, False)
         both = counts + np.where(follow, np.append(counts[1:], 0), 0)
         good = np.flatnonzero(both >= self.bounds[halves // bands])
-        segments, starts = [], []
+        best, others = [], []
         for h in good.tolist():
             a, b = begin[h], begin[h] + both[h]
-            segment = int(halves[h]) // bands
-            bound = self.bounds[segment]
+            item, band = divmod(int(halves[h]), bands)
+            bound, size = int(self.bounds[item]), int(self.sizes[item])
             # Equal q-grams may meet many times; a place needs as many different ones on both sides.
-            if len(set(place[a:b].tolist())) >= bound and len(set(at[a:b].tolist())) >= bound:
-                segments.append(segment)
-                starts.append((int(halves[h]) % bands - self.margin) * self.half)
-        found_items: set[int] = set()
-        for a in range(0, len(segments), ALIGNED):
-            part = segments[a : a + ALIGNED]
-            data = [self.segments[s][1] for s in part]
-            fits = aligned(data, text, np.array(starts[a : a + ALIGNED]), 2 * self.half, self.budgets[part])
-            found_items |= {self.segments[s][0] for s, fit in zip(part, fits.tolist()) if fit}
-        return found_items
+            own = np.unique(place[a:b])
+            if len(own) < bound or len(set(at[a:b].tolist())) < bound:
+                continue
+            # A segment that holds the q-grams from ``first`` to ``last`` starts at or before the first.
+            first, last = own[: len(own) - bound + 1], own[bound - 1 :]
+            near = last - first <= size - GRAM
+            if not near.any():
+                continue
+            low = np.maximum(last[near] - (size - GRAM), 0)
+            high = np.minimum(first[near], len(self.items[item][1]) - size)
+            starts = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(low.tolist(), high.tolist())]))
+            held = np.searchsorted(own, starts + size - GRAM, "right") - np.searchsorted(own, starts)
+            top = int(held.argmax())
+            diagonal = (band - self.margin) * self.half
+            best.append((item, int(starts[top]), diagonal))
+            others.append((item, np.delete(starts, top), diagonal))
+        # The fullest segment of a band mostly settles its item.
+        found_items = self._fit(best, text)
+        left = [(i, s, d) for i, starts, d in others if self.items[i][0] not in found_items for s in starts.tolist()]
+        return found_items | self._fit(left, text)
+
+    def _fit(self, places: list[tuple[int, int, int]], text: bytes) -> set[int]:
+        """The items of which a segment (item, start, diagonal of the band) is in the text."""
+        found: set[int] = set()
+        for a in range(0, len(places), ALIGNED):
+            part = places[a : a + ALIGNED]
+            data = [self.items[i][1][s : s + int(self.sizes[i])] for i, s, _ in part]
+            diagonals = np.array([d + s for _, s, d in part])
+            fits = aligned(data, text, diagonals, 2 * self.half, self.budgets[[i for i, _, _ in part]])
+            found |= {self.items[i][0] for (i, _, _), fit in zip(part, fits.tolist()) if fit}
+        return found
 
 
 def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, bytes]]]:
