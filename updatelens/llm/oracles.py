@@ -73,3 +73,79 @@ kept AS (SELECT doc_id, string_agg(substr(t, 2 * a - 1, 2 * (coalesce(b, n) - a
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(CASE WHEN n_removed IS NULL THEN t ELSE k END)) AS kept_sha256
 FROM x LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+# Keys of lines in ten documents or more; places keep the order.
+ORACLES["op11_lines"] = r"""WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT *, k IN (SELECT k FROM common) AS gone FROM keyed)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+def _manifest(levels: int = 5, top_levels: int = 4) -> str:
+    """Level by level: what is left and right of each node in its run, then the proof of each leaf folded.
+
+    ``levels`` bounds a source to 16^5 rows and ``top_levels`` the sources to 16^4.
+    """
+
+    def tree(name: str, up: int) -> list[str]:
+        run = f"PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
+        parts = []
+        for k in range(up):
+            parts.append(
+                f"{name}s{k} AS (SELECT *, n > 1 AS more, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,"
+                f" coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k})"
+            )
+            parts.append(
+                f"{name}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE max(d) END AS d,"
+                f" (max(n) + 15) // 16 AS n FROM {name}{k} GROUP BY ALL)"
+            )
+        return parts
+
+    def climb(name: str, at: str, up: int, base: str, place: str) -> list[str]:
+        parts, last = [], base
+        for k in range(up):
+            parts.append(
+                f"{at}{k} AS (SELECT x.* REPLACE (CASE WHEN more THEN proof || l || r ELSE proof END AS proof,"
+                f" CASE WHEN more THEN sha256(l || f || r) ELSE f END AS f) FROM {last} x JOIN {name}s{k} s"
+                f" ON s.g = x.{'g' if name == 't' else 'z'} AND s.i = x.{place} // {16**k})"
+            )
+            last = f"{at}{k}"
+        return parts
+
+    def field(c: str) -> str:
+        return f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+
+    fixed = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END"
+    crc = (
+        "xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),"
+        f" lambda x: ord(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), {bit})))"
+    )
+    parts = [
+        f"leaves AS (SELECT doc_id, source, sha256({fixed} || {field('text')}) AS leaf, CASE WHEN {crc} % 5 = 0 THEN"
+        f" sha256({fixed} || {field(lowered)}) END AS tampered FROM documents)",
+        "placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,"
+        " row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves)",
+        "t0 AS (SELECT g, i, leaf AS d, n FROM placed)",
+        *tree("t", levels),
+        f"u0 AS (SELECT 0 AS g, g AS i, d, count(*) OVER () AS n FROM t{levels})",
+        *tree("u", top_levels),
+        "start AS (SELECT *, 0 AS z, '' AS proof, coalesce(tampered, leaf) AS f FROM placed)",
+        *climb("t", "a", levels, "start", "i"),
+        *climb("u", "b", top_levels, f"a{levels - 1}", "g"),
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, leaf, t.d AS subroot, u.d AS root, sha256(proof) AS proof_sha256, f AS folded_root,"
+        f" f = u.d AS verified FROM b{top_levels - 1} b JOIN t{levels} t USING (g) CROSS JOIN u{top_levels} u"
+    )
+
+
+ORACLES["op12_manifest"] = _manifest()

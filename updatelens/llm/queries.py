@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from updatelens.llm import decontamination, mixing, pages, passages, quality, rules, sharding, simhash, substrings, tokens
+from updatelens.llm import (
+    decontamination, lines, manifest, mixing, pages, passages, quality, rules, sharding, simhash, substrings, tokens,
+)
 from updatelens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +74,16 @@ def op9_token_counts(spark, sf):
 def op10_passages(spark, sf):
     found = passages.remove_earlier_passages(table(spark, sf, "documents"))
     return substrings.digest_rows(found, "n_words").drop("n_spans")
+
+
+@query
+def op11_lines(spark, sf):
+    found = lines.remove_common_lines(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op12_manifest(spark, sf):
+    leaves = manifest.document_leaves(table(spark, sf, "documents"))
+    return manifest.prove(leaves)
+
