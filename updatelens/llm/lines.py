@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from updatelens.functions.text import let
-from updatelens.llm.common import session
+from updatelens.llm.common import map_batches, session, utf8
 from updatelens.session import materialize, scratch_dir
 
 MIN_DOCS = 10
@@ -24,8 +27,7 @@ BATCHES = 4
 FANOUT = 2
 # At most so many keys can each hold this part of all lines; they are looked up by a broadcast of 2 MB or less.
 HOT = 1 << 16
-_SPACE = " \t\n\x0b\x0c\r"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RUN = re.compile(r"/level=(\d+)/first=(\d+)/last=(\d+)/")
 
 
@@ -35,37 +37,35 @@ def _row(doc_id: str, text: str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\n", *parts)))
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+def _keys(text: str | None, min_chars: int) -> Iterator[tuple[int, bytes]]:
+    """(place, digest of the key) of every line that has a key. ``strip`` of bytes takes just the six white spaces."""
+    for place, line in enumerate(utf8(text).split(b"\n")):
+        key = line.strip().translate(_LOWER)
+        if len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode("utf-8", "surrogatepass")) >= min_chars):
+            yield place, xxhash.xxh3_128_digest(key)
 
 
 def line_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(r, p, k, first) per line with a key: row, place from 0, digest of the key, whether the row's first with it.
-
-    Sorting a row's keys brings equal ones together, so no line is compared with all others of its text.
-    """
-
-    def marks(lines: Column) -> Column:
-        named = F.transform(
-            lines,
-            lambda line, p: let(
-                F.translate(F.trim(line, F.lit(_SPACE)), _UPPER, _LOWER),
-                lambda k: F.struct(F.when(F.char_length(k) >= min_chars, F.md5(k)).alias("k"), p.alias("p")),
-            ),
-        )
-        return let(
-            F.sort_array(F.filter(named, lambda x: x["k"].isNotNull())),
-            lambda s: F.transform(
-                s,
-                lambda x, j: F.struct(
-                    x["p"].alias("p"), x["k"].alias("k"),
-                    ((j == 0) | (F.get(s, F.greatest(j - 1, F.lit(0)))["k"] != x["k"])).alias("first"),
-                ),
-            ),
-        )
-
-    rows = docs.select(_row(doc_id, text).alias("r"), F.inline(marks(_lines(text))))
-    return rows.select("r", "p", F.unhex("k").alias("k"), "first")
+    """(r, p, k, first) per line with a key: row, place from 0, digest of the key, whether the row's first with it."""
+    session(docs.sparkSession)
+    schema = pa.schema([("r", pa.binary()), ("p", pa.int32()), ("k", pa.binary()), ("first", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, places, keys, first = [], [], [], []
+            for row, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                met: set[bytes] = set()
+                for place, key in _keys(own, min_chars):
+                    owner.append(row)
+                    places.append(place)
+                    keys.append(key)
+                    first.append(key not in met)
+                    met.add(key)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip((owner, places, keys, first), schema)], schema=schema
+            )
+
+    return docs.select(_row(doc_id, text), F.col(text)).mapInArrow(run, "r binary, p int, k binary, first boolean")
 
 
 class LineRuns:
@@ -135,16 +135,21 @@ def common_places(lines: DataFrame, common: DataFrame) -> DataFrame:
     return gone.distinct().groupBy("r").agg(F.sort_array(F.collect_list("p")).alias("gone"))
 
 
-def without_places(lines: Column, gone: Column) -> Column:
-    """The text of ``lines`` without those at ``gone`` (ascending): the stretches between them, joined."""
-    stretches = F.transform(
-        F.sequence(F.lit(0), F.size(gone)),
-        lambda i: let(
-            F.when(i == 0, F.lit(0)).otherwise(F.get(gone, i - 1) + 1),
-            lambda start: F.slice(lines, start + 1, F.coalesce(F.get(gone, i), F.size(lines)) - start),
-        ),
-    )
-    return F.array_join(F.flatten(stretches), "\n")
+def without_places(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, gone) as doc_id, n_lines, n_dropped and kept_text."""
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        sizes, dropped, kept = [], [], []
+        for text, gone in zip(batch["text"], batch["gone"]):
+            lines = (text or "").split("\n")
+            out = set() if gone is None else set(gone.tolist())
+            sizes.append(len(lines))
+            dropped.append(len(out))
+            kept.append("\n".join([x for p, x in enumerate(lines) if p not in out]) if out else text or "")
+        return pd.DataFrame({"doc_id": batch["doc_id"].array, "n_lines": sizes, "n_dropped": dropped, "kept_text": kept})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_batches(docs, run, f"doc_id {kind}, n_lines long, n_dropped long, kept_text string")
 
 
 def remove_common_lines(
@@ -170,13 +175,5 @@ def remove_common_lines(
     for batch in range(batches):
         runs.add(batch, lines.where(F.col("batch") == batch))
     gone = materialize(common_places(lines, materialize(runs.common(min_docs))))
-    named = docs.select("doc_id", _lines("text").alias("_lines"), "text", _row("doc_id", "text").alias("r"))
-    joined = named.join(gone, "r", "left")
-    return joined.select(
-        "doc_id",
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), F.coalesce("text", F.lit("")))
-        .otherwise(without_places(F.col("_lines"), F.col("gone")))
-        .alias("kept_text"),
-    )
+    named = docs.select("doc_id", "text", _row("doc_id", "text").alias("r"))
+    return without_places(named.join(gone, "r", "left").select("doc_id", "text", "gone"))

@@ -225,7 +225,8 @@ def prove(leaves: DataFrame) -> DataFrame:
     """
     session(leaves.sparkSession)
     kind = leaves.schema["doc_id"].dataType.simpleString()
-    slim = leaves.select("doc_id", "source", "leaf", "tampered")
+    # Written first: the range sort reads its input twice.
+    slim = materialize(leaves.select("doc_id", "source", "leaf", "tampered"))
     ranked = materialize(in_order(slim, ["source", "doc_id", "leaf"], {}))
     sources = ranked.groupBy("source").agg(F.min("_rank").alias("_low"), F.count("*").alias("_n"))
     sources = in_order(sources, ["source"], {})

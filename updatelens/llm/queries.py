@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from updatelens.llm import (
-    decontamination, lines, manifest, mixing, pages, passages, quality, rules, sharding, simhash, substrings, tokens,
+    decontamination, lines, manifest, mixing, negatives, pages, passages, quality, rules, sharding, simhash, substrings, tokens,
 )
 from updatelens.llm.common import table
 
@@ -87,3 +87,7 @@ def op12_manifest(spark, sf):
     leaves = manifest.document_leaves(table(spark, sf, "documents"))
     return manifest.prove(leaves)
 
+
+@query
+def op13_negatives(spark, sf):
+    return negatives.mine(negatives.contract_rows(table(spark, sf, "embeddings")))
