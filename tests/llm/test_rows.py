@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from updatelens.llm import pages, quality, rules, tokens
+from updatelens.llm import quality, rules, tokens
 
 from .made import prose
 
@@ -126,58 +126,3 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs):
     assert kept.count() == sum(r.predicted for r in rows)
     assert quality.good_rows(odd_docs, labels.limit(0)).count() == odd_docs.count()
     assert {r.doc_id for r in quality.good_rows(odd_docs, labels.limit(0)).collect()} >= {None, 2**60 + 1}
-
-
-# --- pages ---
-
-
-def page(title, blocks, extra="", main="article"):
-    body = "".join(f"<p>{b}</p>" for b in blocks)
-    return (
-        f'<html><head><title>{title}</title><style>p{{}}</style></head><body><nav><ul><li><a href="/">Home</a><li>News</ul></nav>'
-        f'<div class="ad">Buy {title}</div><{main}><h1>{title}</h1>{body}{extra}</{main}><footer>&copy; host</footer>'
-    )
-
-
-def test_blocks_of_a_page():
-    text = pages.extract(
-        page("A &amp; B", ["One<br>two <i>th</i>ree", "x &lt; y&nbsp;z"], '<aside>no</aside><form>f<input></form><div id="comments"><p>c</div><script>"</p>"</script><!-- <p>no --><p>last'),
-        {"template": [], "region": ""},
-    )
-    assert text == "A & B\n\nOne two three\n\nx < y z\n\nlast"
-    assert pages.extract(None, {"template": [], "region": ""}) == ""
-    assert pages.extract("plain words only", {"template": [], "region": ""}) == "plain words only"
-
-
-def test_names_of_parts():
-    none = {"template": [], "region": ""}
-    source = '<body class="sidebar"><div class="page has-sidebar"><main><div class="post-header"><h1>Title</h1></div><p>Text.</main>'
-    assert pages.extract(source + '<div class="page-header">Top</div><div id="cookieNotice">We</div></div>', none) == "Title\n\nText."
-    assert pages.extract('<article><p>One.</article><article class="comment"><p>Two.</article>', none) == "One."
-    assert pages.extract('<div class="with-comments"><p>One.</p></div><div class="comments"><p>Two.</div>', none) == "One."
-
-
-def test_tree_matching_counts_common_nodes():
-    a, b = pages.parse("<div><p>1<ul><li>x<li>y</ul></div>"), pages.parse("<div><ul><li>z</ul><p>2</div>")
-    assert pages._match(a, b, {}) == 1 + 1 + max(2, 1 + 2)  # root, div, and either p with its text or ul, li and its text
-
-
-def test_wrapper_finds_region_and_template():
-    sources = [page(f"T{n}", [prose(n, 40), prose(n + 50, 30)], "<div>Same words at the end of all.</div>", main="div class='body'") for n in range(5)]
-    wrapper = pages.induce(sources)
-    assert wrapper["region"].endswith("div.body")
-    text = pages.extract(sources[3], wrapper)
-    assert "Same words" not in text and "Home" not in text and text.startswith("T3\n\n")
-    copies = pages.induce([sources[0]] * 5)
-    assert copies["template"] == []
-
-
-def test_page_rows(spark):
-    rows = [(n, f"http://h.example/{n}", page(f"T{n}", [prose(n, 20)])) for n in range(6)]
-    rows += [(7, None, None), (8, "http://x.example", ""), (None, "no url", "<p>text"), rows[0]]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS wrapper", "3 AS text", "4 AS h")
-    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in pages.main_text(df).collect()}
-    assert got[2, rows[2][1]][0] == "T2\n\n" + " ".join(prose(2, 20).split())
-    assert got[7, None] == ("", 0) and got[8, "http://x.example"] == ("", 0) and got[None, "no url"] == ("text", 4)
-    assert pages.main_text(df).count() == len(rows)
-    assert pages.main_text(df.limit(0)).collect() == []
