@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -177,7 +178,7 @@ def test_leaks_equal_full_alignment(spark, no_docs, odd_docs):
     leak = D.Leak()
     index = D.Index([(i, D.normal(t)) for i, t in items], leak)
     want = [plain_leaks(t, items, leak) for t in texts]
-    assert [index.leaks(D.normal(t)) for t in texts] == want
+    assert index.leaks([D.normal(t) for t in texts]) == want
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame([*items, (None, "x"), (12, None)], "item_id long, text string")
     got = {r.doc_id: r["items"] for r in D.find_leaks(docs, bench, block_chars=300).collect()}
@@ -194,7 +195,7 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     index = D.Index([(1, D.normal(item))], D.Leak())
     monkeypatch.setattr(D, "PIECE", 64)
     for before in range(0, 120, 7):
-        assert index.leaks(D.normal("w" * before + " " + item + " " + prose(2, 50))) == [1]
+        assert index.leaks([D.normal("w" * before + " " + item + " " + prose(2, 50))])[0] == [1]
 
 
 def test_every_stretch_of_an_item_is_a_leak():
@@ -203,17 +204,40 @@ def test_every_stretch_of_an_item_is_a_leak():
     around = (prose(901, 20) + " q", "q " + prose(902, 20))
     for at in range(len(item) - 79):
         shown = item[at : at + 80].decode()
-        assert index.leaks(D.normal(shown.join(around))) == [1]
-        assert index.leaks(D.normal(shown[:40].join(around))) == []
+        assert index.leaks([D.normal(shown.join(around))])[0] == [1]
+        assert index.leaks([D.normal(shown[:40].join(around))])[0] == []
     rng = random.Random(5)
     for at in range(3, len(item) - 79, 23):
         text = D.normal(mutated(item[at : at + 80].decode(), 7, rng).join(around))
         near = any(edit_distance_within(s, text) <= 8 for s in D.Leak().segments(item[max(0, at - 2) : at + 82]))
-        assert near and index.leaks(text) == [1]
+        assert near and index.leaks([text])[0] == [1]
 
 
 def test_short_items_are_whole_words():
     index = D.Index([(1, b"tiny"), (2, b"short one here"), (3, b""), (4, b"a b"), (5, b"tiny"), (2, b"short one here")], D.Leak())
-    assert index.leaks(b"some tiny thing") == [1, 5] and index.leaks(b"tinyish atiny") == []
-    assert index.leaks(b"short one here") == [2] and index.leaks(b"short one hereby a b") == [4]
-    assert index.leaks(b"") == []
+    assert index.leaks([b"some tiny thing"])[0] == [1, 5] and index.leaks([b"tinyish atiny"])[0] == []
+    assert index.leaks([b"short one here"])[0] == [2] and index.leaks([b"short one hereby a b"])[0] == [4]
+    assert index.leaks([b""])[0] == []
+
+
+def test_repeating_texts(monkeypatch):
+    rng = random.Random(6)
+    items = [b"ab " * 60, b"a" * 90, b"ab ac abd " * 12]
+    texts = [b"ab " * 100, b"ab ab ac ab abb cab " * 15, b"a" * 300, b"ab ac abd " * 30, b"".join(rng.choice([b"ab ", b"ac ", b"a"]) for _ in range(200))]
+    texts += [b"".join(item[:45] + b" xyzzy quux zzz " for _ in range(5)) for item in items]
+    texts = [D.normal(t.decode())[:160] for t in texts]
+    for item in items:
+        data = D.normal(item.decode())
+        index = D.Index([(1, data)], D.Leak())
+        want = [[1] if any(edit_distance_within(s, t) <= 8 for s in set(D.Leak().segments(data))) else [] for t in texts]
+        for hits in (1 << 18, 500):  # whole and in parts
+            monkeypatch.setattr(D, "HITS", hits)
+            assert index.leaks(texts) == want
+
+
+def test_long_repeating_texts_take_little_time():
+    index = D.Index([(1, b"ab " * 333), (2, b"a" * 500)], D.Leak())
+    for n in (6_000, 60_000, 1_000_000):
+        start = time.perf_counter()
+        assert index.leaks([(b"ab " * n)[:n], b"a" * n]) == [[1], [2]]
+        assert time.perf_counter() - start < 4
