@@ -7,6 +7,8 @@ import pytest
 
 from updatelens.llm import passages, repeats, substrings, windows
 
+from .made import prose
+
 LAST = (1 << 63) - 1
 
 
@@ -95,3 +97,12 @@ def test_runs_split_long_texts_without_loss(monkeypatch):
     monkeypatch.setattr(windows, "BLOCK", 100)
     covered = [p for _, lo, hi, _ in windows.runs(symbols, 50, 8) for a, b in zip(lo, hi) for p in range(a, b + 1)]
     assert covered == list(range(3000 - 50 + 1))
+
+
+def test_thousands_of_equal_rows_without_id(spark):
+    text = prose(77, 400)
+    rows = [(None, text)] * 4000 + [(1, prose(78, 100)), (2, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for found, gone in ((substrings.remove_repeated_bytes(docs), 4001), (passages.remove_earlier_passages(docs), 4000)):
+        counts = {(r.doc_id, r.n): r["count"] for r in found.selectExpr("doc_id", "size(removed) AS n").groupBy("doc_id", "n").count().collect()}
+        assert sum(n for (_, spans), n in counts.items() if spans) == gone and len(counts) == 3

@@ -8,8 +8,8 @@ Then:
 2. classes: runs of a bucket with the same content. A class settles all windows of its runs at once.
 3. open runs: what their class does not settle may still share single windows with other classes
    of the bucket. A run of each class of such a bucket gives its text, and windows are compared
-   by 128-bit digests within the bucket. A bucket of more than ``BUCKET`` classes is compared in a
-   shuffle of its windows instead, so no task receives it whole.
+   by 128-bit digests within the bucket. A bucket of more than ``BUCKET`` classes or ``WINDOWS`` windows is
+   compared in a shuffle of its windows instead, so no task receives it whole.
 
 Every step moves rows of runs; only step 3 and the last step move texts, once each, by document.
 """
@@ -31,6 +31,7 @@ from updatelens.session import materialize
 
 # Classes that are compared within one task; at a few hundred bytes and windows each, about 100 MB.
 BUCKET = 16_384
+WINDOWS = 1 << 20  # windows of such classes, at 16 bytes of digest each; a run of one letter has as many
 NO_ID = (1 << 63) - 1  # a document without an id comes after all others
 SPANS = "array<struct<lo:int,hi:int>>"
 
@@ -290,7 +291,8 @@ def repeated(docs: DataFrame, task: Task, settle: Callable[[DataFrame], DataFram
     kept = classes.select("g", "s", F.col("rep.id").alias("owner"), "weight")
     same = mixed.join(kept, ["g", "s"]).where("id > owner" if task.earlier else "weight > 1")
     settled = plain.select("id", "digest", "g", "s", "lo", "hi").union(same.select("id", "digest", "g", "s", "lo", "hi"))
-    wide = classes.groupBy("g").agg(F.max("open").alias("any"), (F.count("*") > BUCKET).alias("many")).where("any")
+    many = (F.count("*") > BUCKET) | (F.sum(F.col("rep.hi") - F.col("rep.lo") + 1) > WINDOWS)
+    wide = classes.groupBy("g").agg(F.max("open").alias("any"), many.alias("many")).where("any")
     if task.earlier:  # the first document of a class may hold it at several places
         own = classes.select("g", "s", F.col("rep.id").alias("owner"), "open", "weight")
         reps = mixed.join(own, ["g", "s"]).where("id = owner").select("g", "id", "digest", "lo", "hi", "open", "weight")
@@ -299,7 +301,8 @@ def repeated(docs: DataFrame, task: Task, settle: Callable[[DataFrame], DataFram
         reps = classes.select("g", "rep.*", "open", "weight")
     reps = reps.join(wide, "g").select("g", "id", "digest", "lo", "hi", "open", "weight", "many")
     found = _open_windows(docs, materialize(reps), task)
-    return (settle(settled) if settle else settled).select("id", "digest", "lo", "hi").union(found)
+    # Rows that agree in id and text have the same marks, however many they are.
+    return (settle(settled) if settle else settled).select("id", "digest", "lo", "hi").union(found).distinct()
 
 
 def remove(docs: DataFrame, task: Task, settle: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
