@@ -1,20 +1,28 @@
-"""Skew helpers on the path without broadcasts, with a hot key and with rows that have no key."""
+"""Lookups on the path without broadcasts, with a hot key and with rows that have no key."""
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from updatelens import skew
-from updatelens.skew import lookup, salted_join
+from updatelens.skew import lookup
 
+SMALL = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
 
-@pytest.fixture(params=[100, 1_000_000])
-def no_broadcast(spark, request, monkeypatch):
-    monkeypatch.setattr(skew, "TASK_ROWS", request.param)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = {k: spark.conf.get(k, None) for k in SMALL}
+    for k, v in SMALL.items():
+        spark.conf.set(k, v)
     yield spark
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def key(i):
@@ -25,27 +33,34 @@ def test_lookup(no_broadcast):
     left = no_broadcast.createDataFrame([(i, key(i)) for i in range(2000)], "i int, k int")
     table = no_broadcast.createDataFrame([(k, f"v{k}", 5) for k in range(0, 700, 2)], "k int, v string, n int")
     want = [(i, key(i), None if key(i) is None or key(i) % 2 else f"v{key(i)}") for i in range(2000)]
-    for weight in (None, "n"):
-        out = lookup(left, table, ["k"], F.col("i"), weight=weight)
-        assert rows(out.select("i", F.coalesce("k", F.lit(-1)).alias("k"), F.coalesce("v", F.lit("")).alias("v")), "i", "k", "v") == [
-            (i, -1 if k is None else k, v or "") for i, k, v in want
-        ]
+    out = lookup(left, table, ["k"], F.col("i"), leave_out="n")
+    assert out.columns == ["i", "k", "v"]
+    assert rows(out.select("i", F.coalesce("k", F.lit(-1)).alias("k"), F.coalesce("v", F.lit("")).alias("v")), "i", "k", "v") == [
+        (i, -1 if k is None else k, v or "") for i, k, v in want
+    ]
 
 
-def test_salted_join(no_broadcast):
-    left = no_broadcast.createDataFrame([(i, key(i)) for i in range(2000)], "i int, k int")
-    other = no_broadcast.createDataFrame([(k, j) for k in range(0, 700, 7) for j in range(3)], "k int, j int")
-    out = salted_join(left, other, ["k"], F.col("i"))
-    want = sorted((i, key(i), j) for i in range(2000) if key(i) is not None and key(i) % 7 == 0 for j in range(3))
-    assert rows(out, "i", "k", "j") == want
-
-
-def test_wide_table_is_not_broadcast(spark, capsys, monkeypatch):
-    """Half a million bytes in few rows: the hint is for heavy keys only, the rest is the planner's choice."""
-    monkeypatch.setattr(skew, "TASK_ROWS", 100)
-    left = spark.range(2000).selectExpr("id AS i", "id % 50 AS k")
-    table = spark.range(50).selectExpr("id AS k", "repeat('x', 1000000) AS v")
-    lookup(left, table, ["k"], F.col("i")).explain(True)
-    analyzed = capsys.readouterr().out.partition("== Analyzed")[2].partition("== Optimized")[0]
-    hints = [line for line in analyzed.split("\n") if "ResolvedHint" in line]
-    assert len(hints) == 2  # the heavy keys, and their values
+def test_hot_keys_are_cut_at_run_time(no_broadcast, capsys):
+    left = no_broadcast.range(0, 60_000, 1, 12).selectExpr("id AS i", "IF(id % 3 > 0, 7, id % 500) AS k", "uuid() AS u")
+    table = no_broadcast.range(500).selectExpr("id AS k", "repeat('x', 20) AS v")
+    out = lookup(left, table, ["k"], F.col("i"))
+    assert out.count() == 60_000
+    joined = out.groupBy("v", "u").count()
+    joined.collect()
+    joined.explain()
+    assert "isSkew=true" in joined._jdf.queryExecution().executedPlan().toString() or "skew" in capsys.readouterr().out.lower()
+
+
+def test_building_a_lookup_starts_no_job(spark):
+    sc = spark.sparkContext
+    left, table = spark.range(100).selectExpr("id AS i", "id % 5 AS k"), spark.range(5).selectExpr("id AS k", "id AS v")
+    sc.setJobGroup("lookups", "none expected")
+    out = lookup(lookup(left, table, ["k"], F.col("i")), table.withColumnRenamed("v", "w"), ["k"], F.col("i"))
+    assert list(sc.statusTracker().getJobIdsForGroup("lookups")) == []
+    assert out.count() == 100
+    sc.setJobGroup("after", "")
+
+
+def test_a_table_is_not_hinted(spark, capsys):
+    lookup(spark.range(9).selectExpr("id AS k"), spark.range(9).selectExpr("id AS k", "id AS v"), ["k"], F.col("k")).explain(True)
+    assert "ResolvedHint" not in capsys.readouterr().out

@@ -130,7 +130,7 @@ def settle_keyed(batch: DataFrame, stored: DataFrame | None, rules: tuple[str, .
 
 
 def _judge(edges: DataFrame, per_key: DataFrame) -> DataFrame:
-    looked = lookup(edges, per_key, ["rule", "key"], F.col("item_id"), weight="n")
+    looked = lookup(edges, per_key, ["rule", "key"], F.col("item_id"), leave_out="n")
     per_item = looked.groupBy("item_id", "retrieved_at").agg(
         F.collect_list(F.struct("rule", "key")).alias("keys"),
         F.max("taken").alias("hit"),
@@ -210,7 +210,7 @@ def settle_titles(keyless: DataFrame, keepers: DataFrame, options: DedupOptions
     previous = ends.select("normalized_title", (F.col("_b") + 1).alias("_b"), F.col("last").alias("prev_last"))
     masks = titles.join(ends, cols, "left").join(previous, cols, "left")
     masks = masks.where("last IS NOT NULL OR prev_last IS NOT NULL")
-    seen = lookup(mine, masks, cols, F.col("item_id"), weight="n")
+    seen = lookup(mine, masks, cols, F.col("item_id"), leave_out="n")
     covered = (
         (F.col("stored_min") <= F.col("retrieved_at"))
         | (F.col("batch_min") < _seq())
@@ -393,7 +393,7 @@ def _nearest_title(rows: DataFrame, keepers: DataFrame, options: DedupOptions) -
     previous = ends.select("normalized_title", (F.col("_b") + 1).alias("_b"), F.col("last").alias("prev"))
     needed = mine.groupBy(*cols).agg(F.count("*").alias("n"))
     table = needed.join(ends.drop("last"), cols, "left").join(previous, cols, "left")
-    seen = lookup(mine, table, cols, F.col("item_id"), weight="n")
+    seen = lookup(mine, table, cols, F.col("item_id"), leave_out="n")
     me = F.struct("retrieved_at", F.lit(True).alias("in_batch"), "item_id")
     return seen.select(
         "item_id",

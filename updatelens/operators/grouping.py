@@ -15,7 +15,7 @@ from updatelens.functions.values import observed_at
 from updatelens.operators.features import with_counts
 from updatelens.options import GroupingOptions
 from updatelens.session import materialize
-from updatelens.skew import lookup, salted_join
+from updatelens.skew import lookup
 
 # --- cosine similarity --------------------------------------------------------------------------
 
@@ -131,7 +131,7 @@ def candidate_updates(
     wanted = items.select(
         "item_id", F.explode_outer(topic_keys(F.col("topics"), F.col("primary_topic"))).alias("topic")
     )
-    found = salted_join(wanted, recent, ["topic"], F.col("item_id"))
+    found = wanted.join(recent, "topic")
     placed = found.withColumn("position", F.row_number().over(W.partitionBy("item_id").orderBy(*newest)))
     if cap is not None:
         placed = placed.where(F.col("position") <= cap)
@@ -215,7 +215,7 @@ def _block_pairs(probes: DataFrame, reps: DataFrame, threshold: float) -> DataFr
     other = reps.select(
         "topic", "token", F.col("id").alias("rep_id"), F.col("seq").alias("rep_seq"), F.col("reach").alias("rep_reach")
     )
-    met = salted_join(probes, other, ["topic", "token"], F.col("id"))
+    met = probes.join(other, ["topic", "token"])
     return (
         met.where(F.col("rep_seq") < F.col("seq"))
         .where(F.col("reach") * F.col("rep_reach") >= threshold**2 - _SLACK)
@@ -244,7 +244,7 @@ def _founders(vectors: DataFrame, probes: DataFrame, reps: DataFrame, threshold:
         horizon = firsts.where(F.col("_n") == few + 1).select("topic", "token", F.col("seq").alias("horizon"))
         blocks = probes.unionByName(reps).select("id", "seq", "topic", "token")
         beyond = (
-            salted_join(blocks, horizon, ["topic", "token"], F.col("id"))
+            blocks.join(horizon, ["topic", "token"])
             .where(F.col("seq") > F.col("horizon"))
             .select("id")
             .distinct()
@@ -333,7 +333,7 @@ def group_items(
     near = lookup(near, names.join(founders.withColumnRenamed("id", "rep_id"), "rep_id", "left_semi"), ["rep_id"], F.col("probe_id"))
     best = materialize(_best_until(near))
     open_items = base.select("item_id", "seq", F.col("text_id").alias("probe_id"))
-    joined = salted_join(open_items, best, ["probe_id"], F.col("item_id"), "left")
+    joined = open_items.join(best, "probe_id", "left")
     fits = (F.col("from_seq") < F.col("seq")) & (F.col("until_seq").isNull() | (F.col("seq") <= F.col("until_seq")))
     target = (
         joined.where(fits).select("item_id", F.col("founder.item_id").alias("update_id"), "similarity")

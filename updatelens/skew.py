@@ -1,8 +1,9 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-Whether a table is broadcast is left to the planner and, at run time, to the measured sizes of
-adaptive execution. What is done here is to take keys with more rows than one task should read out of
-the ordinary shuffle. There are at most ``rows / TASK_ROWS`` of them, which bounds what is broadcast.
+Nothing is counted beforehand and nothing is broadcast here: which side is broadcast is left to the planner and to the
+sizes that adaptive execution measures, and adaptive execution cuts the partitions of keys that turn out large
+(``spark.sql.adaptive.skewJoin``, set by ``session.configure``). What it cannot cut well is taken out before: rows
+without a key match nothing, so they are dealt out under salts of their own.
 """
 
 from __future__ import annotations
@@ -12,57 +13,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TASK_ROWS = 1_000_000  # rows of one key that one task may read
+NO_KEY_PARTS = 1 << 10
 
 
-def heavy_keys(rows: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """The keys with more rows than a task should read, and ``_salts``, into how many parts theirs are cut.
-
-    ``weight`` names a column of ``rows`` that counts already; then each key has one row.
-    """
-    counted = rows.select(*keys, F.col(weight).alias("_n")) if weight else rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    heavy = counted.where(F.col("_n") > TASK_ROWS)
-    return heavy.select(*keys, F.ceil(F.col("_n") / F.lit(TASK_ROWS)).cast("int").alias("_salts"))
-
-
-def _part(spread: Column, parts: Column) -> Column:
-    return F.pmod(F.xxhash64(spread), parts).cast("int")
-
-
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, weight: str | None = None) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, leave_out: str | None = None) -> DataFrame:
     """Left join ``rows`` to ``table``, which has one row per key.
 
-    The values of heavy keys reach the rows by a broadcast; those rows then stay out of the shuffle of
-    their key, and rows without a key, which match nothing, are spread too. All other keys use an
-    ordinary join. ``weight`` names a column of ``table`` with the number of rows per key; without it
-    the rows are counted.
+    Rows without a key are spread by ``spread``. ``leave_out`` names a column of ``table`` that is not wanted.
     """
-    values = [c for c in table.columns if c not in keys and c != weight]
-    if rows.count() <= TASK_ROWS:  # no key can have more
-        return rows.join(table.select(*keys, *values), keys, "left").select(*rows.columns, *values)
-    heavy = heavy_keys(table if weight else rows, keys, weight)
-    facts = table.select(*keys, F.struct(*values).alias("_hot")).join(F.broadcast(heavy), keys)
-    rest = table.select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
+    values = [c for c in table.columns if c not in keys and c != leave_out]
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    apart = F.lit(1) + _part(spread, F.coalesce("_salts", F.lit(1 << 10)))
-    marked = rows.join(F.broadcast(facts), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull() | no_key, apart).otherwise(F.lit(0))
-    )
-    joined = marked.join(rest, [*keys, "_salt"], "left")
-    found = F.coalesce("_hot", "_cold")
-    return joined.select(*rows.columns, *[found[v].alias(v) for v in values])
-
-
-def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
-    """Join many rows to several rows per key, spreading the heavy keys of ``rows``.
-
-    Only the rows of ``other`` under a heavy key are repeated, once for each part.
-    """
-    if rows.count() <= TASK_ROWS:
-        return rows.join(other, keys, how)
-    heavy = F.broadcast(heavy_keys(rows, keys))
-    left = rows.join(heavy, keys, "left").withColumn("_salt", F.coalesce(_part(spread, F.col("_salts")), F.lit(0)))
-    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-    right = other.join(heavy, keys, "left").withColumn("_salt", F.explode(every))
-    joined = left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how)
-    return joined.drop("_salt")
+    apart = F.lit(1) + F.pmod(F.xxhash64(spread), F.lit(NO_KEY_PARTS)).cast("int")
+    left = rows.withColumn("_salt", F.when(no_key, apart).otherwise(F.lit(0)))
+    right = table.select(*keys, F.struct(*values).alias("_found"), F.lit(0).alias("_salt"))
+    joined = left.join(right, [*keys, "_salt"], "left")
+    return joined.select(*rows.columns, *[F.col("_found")[v].alias(v) for v in values])

@@ -40,13 +40,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, dealt to all cores. The test table is one row group, which else keeps one core busy with all text
+    work; a table of many files needs no such step."""
+    return table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism)
+
+
 def interests(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM {INTERESTS} AS t(interest_id, name, priority, is_active)")
 
 
 def raw_items(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     """Items before cleaning: the first line of a text is its title, the rest its excerpt."""
-    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    docs = documents(spark, sf_dir) if docs is None else docs
     return docs.selectExpr(
         "doc_id AS item_id",
         "source AS source_id",
@@ -97,7 +103,7 @@ def _xml(c: str) -> str:
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One small feed document per text: RSS for even ids, Atom for odd ones; some are broken."""
     title, rest = "substring_index(text, '\\n', 1)", "substr(text, instr(text, '\\n') + 1)"
-    doc = table(spark, sf_dir, "documents").selectExpr(
+    doc = documents(spark, sf_dir).selectExpr(
         "doc_id", "source", f"{_xml(title)} AS t",
         f"CASE WHEN instr(text, '\\n') > 0 THEN {_xml(rest)} END AS e",
     )
@@ -205,8 +211,9 @@ def feedback(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
     )
 
 
-def clears(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_type = 'view'").selectExpr(
+def clears(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    events = table(spark, sf_dir, "events") if events is None else events
+    return events.where("event_type = 'view'").selectExpr(
         "event_id AS clear_id", "user_id AS update_id", "ts AS cleared_at"
     )
 

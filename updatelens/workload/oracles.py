@@ -694,3 +694,27 @@ ORACLES["stream_latest_feedback"] = ORACLES["latest_feedback"]
 ORACLES["stream_items"] = (
     f"WITH RECURSIVE {ITEMS}, {_walk(('external_id', 'url', 'content_hash'))} SELECT item_id FROM walk WHERE n > 0 AND reason IS NULL"
 )
+# Four batches; the entries of every second feed come again in the next one.
+ORACLES["stream_feeds"] = f"""WITH RECURSIVE {FEED_FIELDS}, entries AS (
+  SELECT doc_id AS source_id, 0 AS position, 'g' || doc_id AS external_id, 'https://' || source || '.example.test/a/' || doc_id AS url,
+    title, excerpt FROM parsed WHERE title <> ''
+  UNION ALL SELECT doc_id, 1, 'n' || doc_id, NULL, 'Note ' || doc_id, NULL FROM parsed WHERE doc_id % 2 = 0),
+turns AS (
+  SELECT doc_id AS source_id, unnest(CASE WHEN doc_id % 8 < 4 AND doc_id % 4 < 3 THEN [doc_id % 4, doc_id % 4 + 1] ELSE [doc_id % 4] END) AS turn
+  FROM documents),
+polled AS (SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_hours(turn::INTEGER) AS retrieved_at FROM entries JOIN turns USING (source_id)),
+items AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY turn, sha256(concat_ws(chr(31), source_id::VARCHAR, retrieved_at::VARCHAR, position::VARCHAR))) AS item_id,
+    source_id, external_id, url AS url_hash, turn, retrieved_at, upper(title) AS normalized_title,
+    CASE WHEN excerpt IS NOT NULL THEN upper(sha256(title || chr(10) || excerpt)) END AS content_hash FROM polled),
+{_walk(('external_id', 'url', 'content_hash'))}
+SELECT source_id, external_id, turn::INTEGER AS batch_id FROM walk JOIN items USING (item_id) WHERE n > 0 AND reason IS NULL"""
+ORACLES["stream_groups"] = ORACLES["relevance_scores"]
+ORACLES["stream_late_items"] = f"""WITH {RAW}, timed AS (
+  SELECT item_id, item_id // 7 % 4 AS turn, coalesce(published_at, retrieved_at) AS observed_at FROM raw),
+highs AS (SELECT turn, max(max(observed_at)) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM timed GROUP BY turn)
+SELECT item_id, coalesce(observed_at < high - to_hours(48), false) AS late FROM timed JOIN highs USING (turn)"""
+ORACLES["stream_feedback_with_clears"] = f"""WITH {FEEDBACK}, c AS (
+  SELECT user_id AS update_id, ts, event_id FROM events WHERE event_type = 'view'
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT l.* FROM latest l LEFT JOIN c USING (update_id) WHERE c.ts IS NULL OR (l.created_at, l.feedback_id) > (c.ts, c.event_id)"""

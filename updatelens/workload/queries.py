@@ -46,7 +46,7 @@ def _text(values, sep: str = " "):
 
 
 def _docs(spark, sf):
-    return A.table(spark, sf, "documents")
+    return A.documents(spark, sf)
 
 
 # --- raw records ----------------------------------------------------------------------------------
@@ -1027,3 +1027,25 @@ def stream_latest_feedback(spark, sf):
 @query
 def stream_items(spark, sf):
     return streams.run_items(spark, sf)
+
+
+@query
+def stream_feeds(spark, sf):
+    """Raw feed documents in several micro-batches to stored items."""
+    return streams.run_feeds(spark, sf)
+
+
+@query
+def stream_groups(spark, sf):
+    """Items in several micro-batches to grouped and scored updates."""
+    return streams.run_groups(spark, sf)
+
+
+@query
+def stream_late_items(spark, sf):
+    return streams.run_late(spark, sf)
+
+
+@query
+def stream_feedback_with_clears(spark, sf):
+    return streams.run_feedback_with_clears(spark, sf)
