@@ -82,6 +82,16 @@ def items(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> Da
     )
 
 
+def submitted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages handed in by their address: some addresses come twice, some are of private hosts or no links."""
+    return table(spark, sf_dir, "pages").selectExpr(
+        "page_id",
+        "CASE WHEN page_id % 9 = 4 THEN concat('http://10.0.0.', page_id % 200, '/p') WHEN page_id % 9 = 5 THEN concat('ftp://x.example/', page_id) "
+        "WHEN page_id % 5 = 1 THEN concat('https://again.example/', floor(page_id / 10)) ELSE concat('https://one.example/', page_id) END AS url",
+        "html",
+    )
+
+
 def title_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     return items(spark, sf_dir).withColumns({"external_id": none, "url_hash": none, "content_hash": none})

@@ -432,9 +432,6 @@ ORACLES: dict[str, str] = {
       {_walk(('external_id', 'url', 'content_hash'), source='blanked')} SELECT item_id, reason FROM walk WHERE n > 0""",
     "dedup_articles_blank_keys": f"""WITH RECURSIVE {ITEMS}, blanked AS (SELECT * REPLACE ({BLANKED_KEYS}) FROM items),
       {_walk(('url', 'content_hash'), source='blanked')} SELECT item_id, reason FROM walk WHERE n > 0""",
-    "dedup_articles": f"""WITH RECURSIVE {ITEMS}, {_walk(('url', 'content_hash'))}
-      SELECT item_id, reason IS NOT NULL AS is_duplicate, reason, CASE WHEN reason <> 'title' THEN first_item_id END AS existing_item_id
-      FROM walk WHERE n > 0""",
     "term_frequencies": f"WITH {COUNTS} SELECT doc_id, token, tf FROM counts",
     "keyword_counts": f"WITH {COUNTS} SELECT doc_id, token, tf FROM words",
     "keywords": f"""WITH {COUNTS} SELECT d.doc_id, coalesce(k, '') AS keywords FROM documents d LEFT JOIN (
@@ -718,3 +715,32 @@ ORACLES["stream_feedback_with_clears"] = f"""WITH {FEEDBACK}, c AS (
   SELECT user_id AS update_id, ts, event_id FROM events WHERE event_type = 'view'
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
 SELECT l.* FROM latest l LEFT JOIN c USING (update_id) WHERE c.ts IS NULL OR (l.created_at, l.feedback_id) > (c.ts, c.event_id)"""
+
+
+def _article_outcomes(source: str) -> str:
+    """CTEs after a walk over ``source``: for a repeat by its title also a kept item it repeats, the first of its own aligned
+    week if that came before, else the last of the week before."""
+    return f"""timed AS (SELECT item_id, normalized_title AS nt, retrieved_at AS seen, floor(epoch(retrieved_at) / 604800) AS week FROM {source}),
+kept AS (SELECT t.* FROM timed t JOIN walk USING (item_id) WHERE n > 0 AND reason IS NULL),
+ends AS (SELECT nt, week, min({{'seen': seen, 'id': item_id}}) AS first, max({{'seen': seen, 'id': item_id}}) AS last FROM kept GROUP BY ALL),
+told AS (
+  SELECT w.item_id, reason IS NOT NULL AS is_duplicate, reason, CASE
+    WHEN reason <> 'title' THEN first_item_id
+    WHEN e.first < {{'seen': t.seen, 'id': t.item_id}} THEN e.first.id
+    WHEN p.last.seen >= t.seen - INTERVAL 7 DAY THEN p.last.id END AS existing_item_id
+  FROM walk w JOIN timed t USING (item_id) LEFT JOIN ends e ON reason = 'title' AND e.nt = t.nt AND e.week = t.week
+    LEFT JOIN ends p ON reason = 'title' AND p.nt = t.nt AND p.week = t.week - 1 WHERE n > 0)"""
+
+
+ORACLES["dedup_articles"] = f"""WITH RECURSIVE {ITEMS}, {_walk(('url', 'content_hash'))}, {_article_outcomes('items')}
+SELECT item_id, is_duplicate, reason, existing_item_id FROM told"""
+ORACLES["ingest_articles"] = f"""WITH RECURSIVE {ARTICLE}, addressed AS (
+  SELECT page_id, title, text, CASE WHEN page_id % 9 = 4 THEN 'host_not_public' WHEN page_id % 9 = 5 THEN 'url_invalid' END AS refused,
+    CASE WHEN page_id % 5 = 1 THEN 'https://again.example/' || page_id // 10 ELSE 'https://one.example/' || page_id END AS url FROM article),
+items AS MATERIALIZED (
+  SELECT page_id AS item_id, NULL::VARCHAR AS source_id, NULL::VARCHAR AS external_id, upper(sha256(url)) AS url_hash, upper(sha256(text)) AS content_hash,
+    upper(substr(title, 1, 800)) AS normalized_title, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(20 * (page_id % 2000)::INTEGER) AS retrieved_at
+  FROM addressed WHERE refused IS NULL),
+{_walk(('url', 'content_hash'))}, {_article_outcomes('items')}
+SELECT item_id AS page_id, CASE WHEN is_duplicate THEN 'duplicate' ELSE 'stored' END AS outcome, reason, existing_item_id FROM told
+UNION ALL SELECT page_id, 'rejected', refused, NULL FROM addressed WHERE refused IS NOT NULL"""

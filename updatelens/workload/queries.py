@@ -20,6 +20,7 @@ from updatelens.operators import reporting as R
 from updatelens.operators import scoring as S
 from updatelens.operators import state as H
 from updatelens.options import BriefOptions, GroupingOptions
+from updatelens.plans import articles as article_plan
 from updatelens.plans import brief as brief_plan
 from updatelens.plans import messages as message_plan
 from updatelens.plans import relevance
@@ -409,9 +410,13 @@ def dedup_items_stored(spark, sf):
 
 @query
 def dedup_articles(spark, sf):
-    return D.dedup_articles(A.items(spark, sf)).selectExpr(
-        "item_id", "is_duplicate", "reason", "CASE WHEN reason <> 'title' THEN existing_item_id END AS existing_item_id"
-    )
+    return D.dedup_articles(A.items(spark, sf)).select("item_id", "is_duplicate", "reason", "existing_item_id")
+
+
+@query
+def ingest_articles(spark, sf):
+    """Pages to articles; the later half of the pages is of hosts seen in the first, every ninth address is unusable."""
+    return article_plan.ingest_articles(A.submitted_pages(spark, sf), F.col("page_id") % 2000 * F.expr("INTERVAL 20 MINUTE") + F.lit("2024-01-01").cast("timestamp")).outcomes
 
 
 def _blanked(spark, sf):
