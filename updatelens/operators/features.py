@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from updatelens import constants as K
@@ -208,16 +209,49 @@ def deterministic_provider(items: DataFrame, interests: DataFrame, lexicon: list
     )
 
 
-ANALYSIS_COLUMNS = {
-    "item_id", "language", "keywords", "topics", "descriptors", "impact_level",
-    "impact_confidence", "primary_topic", "interest_matches", "analyzer_version",
+# What a provider must return; the id has the type of the items.
+ANALYSIS_TYPES = {
+    "language": "string", "keywords": "array<string>", "topics": "array<string>", "descriptors": "array<string>",
+    "impact_level": "string", "impact_confidence": "double", "primary_topic": "string", "interest_matches": MATCH_SCHEMA,
+    "analyzer_version": "string",
 }
 
 
-def analyze(items: DataFrame, interests: DataFrame, provider: Provider = deterministic_provider) -> DataFrame:
-    """Analyse items with any provider: a function of items and active interests."""
-    result = provider(items, interests.where("is_active"))
-    missing = ANALYSIS_COLUMNS - set(result.columns)
-    if missing:
-        raise ValueError(f"provider result lacks {sorted(missing)}")
-    return result
+def checked_analyses(result: DataFrame, items: DataFrame, interests: DataFrame) -> DataFrame:
+    """What may be stored of a provider's rows: one for each given item, with matches of given interests only.
+
+    Of several rows for an item the first in the order of their values stays, of several matches of an interest the first;
+    strengths outside 0 to 1 and rows of other items go. Missing columns and other types are errors.
+    """
+    wanted = {"item_id": items.schema["item_id"].dataType.simpleString(), **ANALYSIS_TYPES}
+    given = dict(result.dtypes)
+    wrong = sorted(f"{c} {t}" for c, t in wanted.items() if given.get(c) != t)
+    if wrong:
+        raise ValueError(f"provider result lacks {wrong}")
+    rows = result.select(*wanted)
+    order = W.partitionBy("item_id").orderBy(F.xxhash64(*ANALYSIS_TYPES), F.to_json(F.struct(*ANALYSIS_TYPES)))
+    one = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    one = one.join(items.select("item_id").distinct(), "item_id", "left_semi")
+    # One row with the given ids; a match list is as short as the list of interests.
+    known = interests.agg(F.collect_set("interest_id").alias("_known"))
+
+    def fits(m: Column, i: Column) -> Column:
+        first = F.array_position(F.transform("interest_matches", lambda x: x["interest_id"]), m["interest_id"]) == i + 1
+        return F.array_contains("_known", m["interest_id"]) & first & m["strength"].between(0, 1)
+
+    kept = F.filter(F.coalesce("interest_matches", F.array().cast(MATCH_SCHEMA)), fits)
+    return one.crossJoin(F.broadcast(known)).withColumn("interest_matches", kept).select(*wanted)
+
+
+def analyze(
+    items: DataFrame, interests: DataFrame, provider: Provider = deterministic_provider, check: bool | None = None
+) -> DataFrame:
+    """Analyse items with any provider: a function of items and active interests.
+
+    What a provider returns is checked (``checked_analyses``), unless ``check`` says that it keeps the rules by itself,
+    as the built-in one does.
+    """
+    active = interests.where("is_active")
+    result = provider(items, active)
+    check = provider is not deterministic_provider if check is None else check
+    return checked_analyses(result, items, active) if check else result.select("item_id", *ANALYSIS_TYPES)

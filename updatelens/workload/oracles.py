@@ -744,3 +744,4 @@ items AS MATERIALIZED (
 {_walk(('url', 'content_hash'))}, {_article_outcomes('items')}
 SELECT item_id AS page_id, CASE WHEN is_duplicate THEN 'duplicate' ELSE 'stored' END AS outcome, reason, existing_item_id FROM told
 UNION ALL SELECT page_id, 'rejected', refused, NULL FROM addressed WHERE refused IS NOT NULL"""
+ORACLES["analyze_provider"] = ORACLES["analyze"]

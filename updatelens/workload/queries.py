@@ -487,9 +487,7 @@ def impact(spark, sf):
     return X.impact(_tokens(spark, sf), "item_id", "tokens", A.LEXICON)
 
 
-@query
-def analyze(spark, sf):
-    found = X.analyze(A.items(spark, sf), A.interests(spark), lambda i, n: X.deterministic_provider(i, n, A.LEXICON))
+def _analyses(found):
     match = F.transform("interest_matches", lambda m: F.concat_ws(":", m["interest_id"], F.round(m["strength"], 4).cast("decimal(10,4)").cast("string")))
     return found.select(
         "item_id", "language", _text("keywords").alias("keywords"), _text("topics").alias("topics"),
@@ -498,6 +496,26 @@ def analyze(spark, sf):
     )
 
 
+@query
+def analyze(spark, sf):
+    builtin = lambda i, n: X.deterministic_provider(i, n, A.LEXICON)
+    return _analyses(X.analyze(A.items(spark, sf), A.interests(spark), builtin, check=False))
+
+
+@query
+def analyze_provider(spark, sf):
+    """A provider that returns rows twice, rows of no item, and matches that are unknown, repeated or out of range."""
+
+    def careless(items, interests):
+        good = X.deterministic_provider(items, interests, A.LEXICON)
+        odd = F.expr("array(named_struct('interest_id', 'i9', 'strength', 0.5D), named_struct('interest_id', 'i6', 'strength', 1D))")
+        again = F.transform("interest_matches", lambda m: F.struct(m["interest_id"].alias("interest_id"), F.lit(7.0).alias("strength")))
+        told = good.withColumn("interest_matches", F.concat(odd, "interest_matches", again))
+        return told.unionByName(told.where("item_id % 3 = 0")).unionByName(told.where("item_id = 1").withColumn("item_id", -F.col("item_id")))
+
+    return _analyses(X.analyze(A.items(spark, sf), A.interests(spark), careless))
+
+
 @query
 def primary_topic(spark, sf):
     found = X.topics(_docs(spark, sf), "doc_id", "text")
