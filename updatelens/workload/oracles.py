@@ -745,3 +745,13 @@ items AS MATERIALIZED (
 SELECT item_id AS page_id, CASE WHEN is_duplicate THEN 'duplicate' ELSE 'stored' END AS outcome, reason, existing_item_id FROM told
 UNION ALL SELECT page_id, 'rejected', refused, NULL FROM addressed WHERE refused IS NOT NULL"""
 ORACLES["analyze_provider"] = ORACLES["analyze"]
+ORACLES["request_limits"] = f"""WITH {RAW}, s AS (
+  SELECT source_id AS update_id, item_id, substr(title, 1, 512) AS t, substr(excerpt, 1, 2000) AS e,
+    row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC NULLS LAST, item_id) AS n FROM raw QUALIFY n <= 50),
+i AS (
+  SELECT 'src' || c_custkey % 5 AS update_id, lpad(c_custkey::VARCHAR, 9, '0') AS id, substr(repeat(c_name, 8), 1, 100) AS name,
+    row_number() OVER (PARTITION BY c_custkey % 5 ORDER BY c_custkey * 37 % 101 DESC, id) AS n FROM customer WHERE c_custkey % 7 <> 0 QUALIFY n <= 100),
+sa AS (SELECT update_id, count(*)::INTEGER AS n_sources, md5(string_agg(concat_ws('|', item_id, t, e), chr(10) ORDER BY n)) AS sources FROM s GROUP BY 1),
+ia AS (SELECT update_id, count(*)::INTEGER AS n_interests, md5(string_agg(concat_ws('|', id, name), chr(10) ORDER BY n)) AS interests FROM i GROUP BY 1)
+SELECT update_id, substr(repeat(update_id, 60), 1, 200) AS primary_topic, n_sources, sources, coalesce(n_interests, 0) AS n_interests,
+  coalesce(interests, md5('')) AS interests FROM sa LEFT JOIN ia USING (update_id)"""

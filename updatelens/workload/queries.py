@@ -866,6 +866,24 @@ def clamp_request(spark, sf):
     )
 
 
+@query
+def request_limits(spark, sf):
+    """Requests whose lists and texts are beyond every limit: an update for each source of texts, interests by customer."""
+    items = A.items(spark, sf)
+    updates = items.select(F.col("source_id").alias("update_id")).distinct().withColumn("primary_topic", F.repeat("update_id", 60))
+    links = items.select(F.col("source_id").alias("update_id"), "item_id")
+    customers = A.table(spark, sf, "customer").withColumn("interest_id", F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    interests = customers.selectExpr("interest_id", "repeat(c_name, 8) AS name", "'High' AS priority", "c_custkey % 7 <> 0 AS is_active")
+    met = customers.selectExpr("concat('src', c_custkey % 5) AS update_id", "interest_id", "c_custkey * 37 % 101 / 100D AS strength")
+    found = B.generation_inputs(updates.select("update_id"), links, items, met, interests, updates)
+    sources = F.transform("sources", lambda s: F.concat_ws("|", s["item_id"].cast("string"), s["title"], s["excerpt"]))
+    names = F.transform("interests", lambda i: F.concat_ws("|", i["interest_id"], i["name"]))
+    return found.select(
+        "update_id", "primary_topic", F.size("sources").alias("n_sources"), _md5(F.array_join(sources, "\n")).alias("sources"),
+        F.size("interests").alias("n_interests"), _md5(F.array_join(names, "\n")).alias("interests"),
+    )
+
+
 @query
 def compose(spark, sf):
     return B.compose(_inputs(spark, sf)).select("brief_id", "update_id", "title", "summary", "why_relevant")
