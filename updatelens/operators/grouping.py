@@ -148,7 +148,14 @@ def assign_to_updates(
     items: DataFrame, updates: DataFrame, as_of: Column, options: GroupingOptions = GroupingOptions()
 ) -> DataFrame:
     """Merge target of each item among stored updates: (item_id, update_id, similarity), null when
-    the item founds its own."""
+    the item founds its own.
+
+    Without ``max_comparisons`` all updates of the window count, and only those that can reach the threshold are compared.
+    """
+    if options.max_comparisons is None:
+        from updatelens.operators.candidates import assign_among_all
+
+        return assign_among_all(items, updates, as_of, options)
     pairs = materialize(candidate_updates(items, updates, as_of, options).select("item_id", "update_id"))
     lv = text_vectors(items, "item_id", probe_text(F.col("title"), F.col("primary_topic")))
     rv = text_vectors(

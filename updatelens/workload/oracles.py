@@ -613,6 +613,8 @@ SELECT p.item_id, b.update_id, round(b.s, 9) AS similarity FROM probes p LEFT JO
 
 ORACLES["assign_to_updates_uncapped"] = ORACLES["assign_to_updates"].replace(" QUALIFY position <= 25", "")
 
+ORACLES["assign_by_index"] = ORACLES["assign_to_updates_uncapped"]
+
 ORACLES["process_messages"] = """WITH d AS (
   SELECT doc_id AS n, doc_id::VARCHAR AS item_id, string_split(text, chr(10))[1] AS title,
     CASE WHEN contains(text, chr(10)) THEN substr(text, instr(text, chr(10)) + 1) END AS excerpt FROM documents),

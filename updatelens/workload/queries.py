@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from updatelens.functions import links as L
 from updatelens.functions import text as T
 from updatelens.functions import values as V
 from updatelens.operators import briefs as B
+from updatelens.operators import candidates as C
 from updatelens.operators import dedup as D
 from updatelens.operators import features as X
 from updatelens.operators import grouping as G
@@ -112,8 +114,6 @@ def append_if_absent(spark, sf):
 @query
 def write_snapshot(spark, sf):
     """Writes twice; the second write has to be a no-op."""
-    import uuid
-
     path = f"{scratch_dir(spark)}/snapshot-{uuid.uuid4().hex}"
     for _ in range(2):
         sinks.write_snapshot(path, A.briefs(spark, sf), A.brief_items(spark, sf), A.brief_item_sources(spark, sf))
@@ -584,6 +584,21 @@ def assign_to_updates_uncapped(spark, sf):
     return found.select("item_id", "update_id", F.round("similarity", 9).alias("similarity"))
 
 
+@query
+def assign_by_index(spark, sf):
+    """Updates indexed in three batches: each is first seen ten days earlier, then again at its time; one batch runs twice."""
+    probes = _probes(spark, sf)
+    updates = _as_updates(probes)
+    path = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    earlier = updates.withColumn("last_observed_at", F.col("last_observed_at") - F.expr("INTERVAL 10 DAYS"))
+    C.index_updates(path, 0, earlier)
+    C.index_updates(path, 1, updates.where("update_id % 3 = 0"))
+    for _ in range(2):
+        C.index_updates(path, 2, updates.where("update_id % 3 <> 0"))
+    found = C.assign_by_index(path, probes, A.as_of(), before=3)
+    return found.select("item_id", "update_id", F.round("similarity", 9).alias("similarity"))
+
+
 def _grouped(spark, sf, hours):
     return G.group_items(_probes(spark, sf), A.as_of(), GroupingOptions(window_hours=hours))
 
