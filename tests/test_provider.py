@@ -1,5 +1,7 @@
 """What a provider of analyses may return."""
 
+import tempfile
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -26,3 +28,26 @@ def test_provider_rows_are_checked(spark):
         X.analyze(items, interests, lambda i, n: provider(i, n).drop("topics"))
     with pytest.raises(ValueError, match="impact_confidence double"):
         X.analyze(items, interests, lambda i, n: provider(i, n).withColumn("impact_confidence", F.lit("0.5")))
+
+
+def test_an_item_is_analysed_once_per_version(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/analyses"
+    texts = [(i, f"Release {i}", "outage" if i % 2 else None) for i in range(6)]
+    made = lambda some: spark.createDataFrame(some, "item_id bigint, title string, excerpt string")
+    interests = spark.createDataFrame([("a", "release", "High", True)], "interest_id string, name string, priority string, is_active boolean")
+    asked = []
+
+    def provider(some, active):
+        asked.append(sorted(r.item_id for r in some.collect()))
+        return X.deterministic_provider(some, active)
+
+    run = lambda some, version="v1": X.analyze_incremental(path, made(some), interests, provider, version)
+    assert rows(run([]), "item_id") == []
+    assert rows(run(texts[:2]), "item_id") == [(0,), (1,)]
+    changed = [(1, "Other", None), (None, "No id", None), texts[2], texts[2]]
+    assert rows(run(changed), "item_id", "impact_level") == [(1, "medium"), (2, "low")]
+    full = run(texts)
+    assert rows(full, "item_id", "impact_level") == [(i, "medium" if i % 2 else "low") for i in range(6)]
+    assert rows(run(texts), *full.columns) == rows(full, *full.columns)
+    assert rows(run(texts[:1], "2"), "item_id", "analyzer_version") == [(0, "2")]
+    assert asked == [[], [0, 1], [2, 2], [3, 4, 5], [0]]

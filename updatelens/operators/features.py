@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from updatelens import constants as K
 from updatelens.functions import text as T
 from updatelens.session import materialize
+from updatelens.sources.sinks import read_table
 
 MATCH_SCHEMA = "array<struct<interest_id:string,strength:double>>"
 
@@ -255,3 +256,36 @@ def analyze(
     result = provider(items, active)
     check = provider is not deterministic_provider if check is None else check
     return checked_analyses(result, items, active) if check else result.select("item_id", *ANALYSIS_TYPES)
+
+
+def analyze_incremental(
+    path: str,
+    items: DataFrame,
+    interests: DataFrame,
+    provider: Provider = deterministic_provider,
+    version: str = K.ANALYZER_VERSION,
+    check: bool | None = None,
+) -> DataFrame:
+    """Analyses of the items under ``version``; a text is analysed only once per version.
+
+    Results are kept at ``path``, a partition per version, and stay as they were when interests change: another version
+    analyses again. Items without an id are left out; of rows with one id one is analysed. A run that stopped is repeated.
+    """
+    spark = items.sparkSession
+    id_type = items.schema["item_id"].dataType.simpleString()
+    schema = ", ".join(f"{c} {t}" for c, t in {"item_id": id_type, **ANALYSIS_TYPES}.items())
+    wanted = items.select("item_id").where("item_id IS NOT NULL").distinct()
+    stored = read_table(spark, path, schema)
+    missing = wanted
+    if stored is not None:
+        kept = stored.where(F.col("analyzer_version") == version)
+        missing = wanted.join(kept.select("item_id"), "item_id", "left_anti")
+    # Only ids are written: what was missing must not change while results are stored.
+    missing = materialize(missing)
+    if stored is None or not missing.isEmpty():
+        rows = items.join(missing, "item_id", "left_semi")
+        found = analyze(rows, interests, provider, check).withColumn("analyzer_version", F.lit(version))
+        one = found.withColumn("_n", F.row_number().over(W.partitionBy("item_id").orderBy(F.xxhash64(*ANALYSIS_TYPES))))
+        one.where("_n = 1").drop("_n").write.mode("append").partitionBy("analyzer_version").parquet(path)
+    results = spark.read.schema(schema).parquet(path).where(F.col("analyzer_version") == version)
+    return results.join(wanted, "item_id", "left_semi").select("item_id", *ANALYSIS_TYPES)

@@ -746,7 +746,7 @@ items AS MATERIALIZED (
 {_walk(('url', 'content_hash'))}, {_article_outcomes('items')}
 SELECT item_id AS page_id, CASE WHEN is_duplicate THEN 'duplicate' ELSE 'stored' END AS outcome, reason, existing_item_id FROM told
 UNION ALL SELECT page_id, 'rejected', refused, NULL FROM addressed WHERE refused IS NOT NULL"""
-ORACLES["analyze_provider"] = ORACLES["analyze"]
+ORACLES["analyze_provider"] = ORACLES["analyze_incremental"] = ORACLES["analyze"]
 ORACLES["request_limits"] = f"""WITH {RAW}, s AS (
   SELECT source_id AS update_id, item_id, substr(title, 1, 512) AS t, substr(excerpt, 1, 2000) AS e,
     row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC NULLS LAST, item_id) AS n FROM raw QUALIFY n <= 50),

@@ -516,6 +516,21 @@ def analyze_provider(spark, sf):
     return _analyses(X.analyze(A.items(spark, sf), A.interests(spark), careless))
 
 
+@query
+def analyze_incremental(spark, sf):
+    """A third of the items first, then all, then all by a provider that may not be asked any more."""
+    path = f"{scratch_dir(spark)}/analyses-{uuid.uuid4().hex}"
+    items, interests = A.items(spark, sf), A.interests(spark)
+    builtin = lambda i, n: X.deterministic_provider(i, n, A.LEXICON)
+
+    def closed(items, interests):
+        raise AssertionError("every item has its analysis")
+
+    X.analyze_incremental(path, items.where("item_id % 3 = 0"), interests, builtin, check=False)
+    X.analyze_incremental(path, items, interests, builtin, check=False)
+    return _analyses(X.analyze_incremental(path, items, interests, closed))
+
+
 @query
 def primary_topic(spark, sf):
     found = X.topics(_docs(spark, sf), "doc_id", "text")
