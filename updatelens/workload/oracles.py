@@ -333,10 +333,12 @@ ORACLES: dict[str, str] = {
     "append_if_absent": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem
       WHERE (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A')
       QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag) = 1""",
-    "write_snapshot": f"""WITH {BRIEFS}, {BRIEF_ITEMS} SELECT b.brief_id, status, i.items, s.sources FROM briefs b
-      LEFT JOIN (SELECT brief_id, count(*) AS items FROM brief_items JOIN briefs USING (brief_id) WHERE status = 'Completed' GROUP BY 1) i USING (brief_id)
-      LEFT JOIN (SELECT brief_id, count(*) AS sources FROM brief_item_sources JOIN briefs USING (brief_id) WHERE status = 'Completed' GROUP BY 1) s USING (brief_id)
-      WHERE status <> 'Generating'""",
+    "write_snapshot": f"""WITH {BRIEFS}, {BRIEF_ITEMS}, done AS (SELECT brief_id FROM briefs WHERE status = 'Completed')
+      SELECT 'briefs' AS kind, *, NULL::BIGINT AS update_id, NULL::INTEGER AS rank, NULL::DOUBLE AS score, NULL::VARCHAR AS title, NULL::BIGINT AS item_id
+      FROM briefs WHERE status <> 'Generating'
+      UNION ALL SELECT 'brief_items', brief_id, NULL, NULL, NULL, update_id, rank, score, title, NULL FROM brief_items JOIN done USING (brief_id)
+      UNION ALL SELECT 'brief_item_sources', brief_id, NULL, NULL, NULL, update_id, NULL, NULL, NULL, item_id
+      FROM brief_item_sources JOIN done USING (brief_id)""",
     "collapse_ws": f"SELECT doc_id, md5({_collapse('text')}) AS digest FROM documents",
     "clean_title": f"""WITH {RAW}, t AS (SELECT item_id, {_collapse('title')} AS c FROM raw), u AS (
       SELECT *, CASE WHEN c <> '' AND length(c) <= 800 THEN c END AS title FROM t)
