@@ -22,13 +22,14 @@ def generate_brief(
     options: BriefOptions = BriefOptions(),
     scoring: ScoringOptions = ScoringOptions(),
     composer: B.Composer = B.deterministic_composer,
+    window: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fill one generating brief. ``request`` is its one-row header (brief_id, status, generated_at).
 
     One lazy plan: updates are chosen before any text is gathered, so at most ``max_items`` updates
-    reach the composer. Returns (header, items, item sources).
+    reach the composer. ``window`` stands for the time since the latest completed brief. Returns (header, items, item sources).
     """
-    window = B.brief_window(briefs, now, options)
+    window = B.brief_window(briefs, now, options) if window is None else window
     eligible = B.eligible_updates(updates, briefs, brief_items, window, scoring.threshold)
     header = request.select("brief_id").withColumn("_k", F.lit(1))
     selected = (
