@@ -5,6 +5,7 @@ import tempfile
 import pytest
 
 from updatelens.operators import interactions as J
+from updatelens.session import bucketed
 from updatelens.workload import adapters as A
 
 
@@ -39,3 +40,11 @@ def test_items_and_sources_of_briefs_are_moved_once(sorted_joins):
         # One exchange of the lines, one of the headers.
         assert plan(part.join(header, "brief_id")).count("Exchange hashpartitioning") == 2
     assert "concat" not in plan(A.brief_items(sorted_joins, folder)).split("Exchange")[1]
+
+
+def test_bucketed_rows_are_not_moved_again(sorted_joins):
+    folder, header = lines(sorted_joins), sorted_joins.range(5).withColumnRenamed("id", "brief_id")
+    items = A.brief_items(sorted_joins, folder)
+    stored = bucketed(items, "brief_id")
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, items.collect()))
+    assert plan(stored.join(header, "brief_id")).count("Exchange hashpartitioning") == 1  # the headers
