@@ -48,3 +48,14 @@ def test_bucketed_rows_are_not_moved_again(sorted_joins):
     stored = bucketed(items, "brief_id")
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, items.collect()))
     assert plan(stored.join(header, "brief_id")).count("Exchange hashpartitioning") == 1  # the headers
+
+
+def test_opens_meet_links_before_these_are_made_distinct(sorted_joins):
+    links = sorted_joins.createDataFrame([(1, 10), (1, 10), (2, 20), (3, None), (None, 30)], "update_id long, item_id long")
+    opens = sorted_joins.createDataFrame(
+        [(1, 1, 10), (2, 1, 10), (3, 2, 10), (4, 3, None), (5, None, 30), (6, 9, 9)], "event_id long, update_id long, item_id long"
+    )
+    good, bad = J.record_opens(opens, links)
+    assert sorted(r.event_id for r in good.collect()) == [1, 2]
+    assert sorted(r.event_id for r in bad.collect()) == [3, 4, 5, 6]
+    assert "LeftSemi" in plan(good)

@@ -64,7 +64,12 @@ def apply_saves(events: DataFrame, updates: DataFrame | None = None) -> DataFram
 
 
 def record_opens(events: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split open events into (accepted, rejected): the item has to support the update."""
-    pairs = links.select("update_id", "item_id").distinct().withColumn("_supports", F.lit(True))
-    rows = lookup(events, pairs, ["update_id", "item_id"], F.col("event_id"))
+    """Split open events into (accepted, rejected): the item has to support the update.
+
+    Only links that some event names are made distinct, so no task holds a table of all links.
+    """
+    keys = ["update_id", "item_id"]
+    named = links.select(*keys).join(events.select(*keys).distinct(), keys, "left_semi")
+    pairs = named.distinct().withColumn("_supports", F.lit(True))
+    rows = lookup(events, pairs, keys, F.col("event_id"))
     return rows.where("_supports").drop("_supports"), rows.where("_supports IS NULL").drop("_supports")
