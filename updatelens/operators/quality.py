@@ -21,6 +21,15 @@ def validate_items(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``raw`` has source_id, external_id, url, title, excerpt, content_hash, retrieved_at.
     """
+    return split_checked(check_items(raw))
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
+
+
+def check_items(raw: DataFrame) -> DataFrame:
+    """All items with their ``errors``. A filter on them repeats the rules, so written rows are split more cheaply."""
     url_bad = ~T.is_blank("url") & L.canonical_url(F.col("url")).isNull()
     errors = _errors(
         F.when(T.is_blank(F.col("source_id").cast("string")), F.lit("source_missing")),
@@ -31,8 +40,7 @@ def validate_items(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(url_bad, F.lit("url_invalid")),
         F.when(F.col("retrieved_at").isNull(), F.lit("retrieved_at_missing")),
     )
-    checked = raw.withColumn("errors", errors)
-    return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
+    return raw.withColumn("errors", errors)
 
 
 def clean_items(good: DataFrame) -> DataFrame:

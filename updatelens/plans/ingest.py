@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from updatelens.operators.dedup import dedup_items
-from updatelens.operators.quality import clean_items, validate_items
+from updatelens.operators.quality import check_items, clean_items, split_checked
 from updatelens.operators.state import run_report
 from updatelens.options import DedupOptions
 from updatelens.session import materialize
@@ -43,7 +43,7 @@ def ingest_feeds(
     entries = entries.withColumn("retrieved_at", retrieved_at).withColumn(
         "item_id", item_key(F.col("source_id"), F.col("position"), retrieved_at)
     )
-    good, bad = validate_items(entries)
+    good, bad = split_checked(materialize(check_items(entries)))
     items = materialize(clean_items(good))
     kept, duplicates = dedup_items(items, stored, options)
     outcomes = (

@@ -98,21 +98,23 @@ def parse_feeds(feeds: DataFrame, max_bytes: int = K.FEED_BYTES_MAX) -> tuple[Da
         f"source_id {source_type}, feed_url string, position int, error_code string, external_id string, "
         "link string, title string, excerpt string, published string"
     )
-    # Written, so that taking the two parts apart does not read the documents twice.
-    read = materialize(feeds.where(~big).mapInPandas(_read, raw_schema))
-    rejects = read.where("error_code IS NOT NULL").select("source_id", "feed_url", "error_code").unionByName(
-        feeds.where(big).select("source_id", "feed_url", F.lit("response_too_large").alias("error_code"))
-    )
-    fields = read.where("error_code IS NULL").select(
+    # Written with cleaned texts: taking the two parts apart neither reads the documents twice nor cleans again for each use.
+    read = feeds.where(~big).mapInPandas(_read, raw_schema).select(
         "source_id",
         "feed_url",
         "position",
+        "error_code",
         T.bounded_text("external_id", K.EXTERNAL_ID_MAX).alias("external_id"),
         resolve_url(F.col("feed_url"), F.col("link")).alias("url"),
         T.bounded_text("title", K.TITLE_MAX).alias("title"),
         T.bounded_text("excerpt", K.EXCERPT_MAX).alias("excerpt"),
         parse_utc(F.col("published")).alias("published_at"),
     )
+    read = materialize(read)
+    rejects = read.where("error_code IS NOT NULL").select("source_id", "feed_url", "error_code").unionByName(
+        feeds.where(big).select("source_id", "feed_url", F.lit("response_too_large").alias("error_code"))
+    )
+    fields = read.where("error_code IS NULL").drop("error_code")
     items = fields.where("title IS NOT NULL").withColumn(
         "content_hash", content_hash(F.col("title"), F.col("excerpt"))
     )
