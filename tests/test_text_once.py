@@ -1,0 +1,49 @@
+"""Tokens are counted and paired for whole batches."""
+
+import random
+from collections import Counter
+
+from updatelens.constants import STOP_WORDS
+from updatelens.operators import features as X
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_of_a_batch(spark):
+    rng = random.Random(3)
+    words = ["a", "b", "ab", "\uffff", "\U0001f600", "é", "zz"]
+    lists = [None, [], ["a"], *[[rng.choice(words) for _ in range(rng.randint(0, 30))] for _ in range(40)]]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, tokens array<string>").coalesce(1)
+    counted = X.with_counts(df, "tokens", "counts")
+    got = {r.id: [(c.token, c.tf) for c in r.counts] for r in counted.collect()}
+    assert got == {i: sorted(Counter(t or []).items()) for i, t in enumerate(lists)}
+    assert "_counted" in optimized(counted)
+
+
+def test_descriptors_of_a_batch(spark):
+    rng = random.Random(5)
+
+    def some(n):
+        return [rng.choice("abc") for _ in range(rng.randint(0, n))]
+
+    lists = [(some(4), some(60)) for _ in range(60)] + [(None, ["a", "b"]), ([], None), (["x"] * 90, ["x"] * 90 + ["y"])]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(lists)], "id int, t array<string>, c array<string>").coalesce(1)
+    got = {r.id: r.d for r in df.select("id", X._descriptors("t", "c", 5).alias("d")).collect()}
+    for i, (t, c) in enumerate(lists):
+        pairs = [f"{a} {b}" for side in (t or [], c or []) for a, b in zip(side, side[1:])]
+        assert got[i] == list(dict.fromkeys(pairs))[:5]
+
+
+def test_keywords_of_a_batch(spark):
+    rng = random.Random(6)
+    words = ["the", "of", "ab", "abc", "éée", "zzzz", "release", "\U0001f600\U0001f600\U0001f600"]
+    lists = [None, [], ["the"], *[[rng.choice(words) for _ in range(rng.randint(0, 40))] for _ in range(40)]]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, tokens array<string>").coalesce(1)
+    ranked = df.select("id", X._keywords("tokens", 3, 3).alias("k"))
+    for r in ranked.collect():
+        fit = Counter(w for w in lists[r.id] or [] if len(w) >= 3 and w not in STOP_WORDS)
+        assert r.k == [w for w, _ in sorted(fit.items(), key=lambda x: (-x[1], x[0]))[:3]]
+    items = df.selectExpr("id AS item_id", "concat_ws(' ', tokens) AS title", "'' AS excerpt")
+    assert optimized(X.analyze_items(items)).count("_frequent") == 1
