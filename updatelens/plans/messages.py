@@ -69,8 +69,8 @@ def process_messages(
     accepted = judged.where("disposition = 'accepted'").select("row_id", "item_id")
     outcomes = materialize(commit_outcomes(accepted, items, links))
     named = outcomes.where("outcome = 'Grouped'").select("item_id").distinct()
-    due = items.join(named, "item_id", "left_semi")
-    failures = over_contract(due, as_of) if strict else over_contract(due, as_of).limit(0)
+    due = materialize(items.join(named, "item_id", "left_semi"))
+    failures = materialize(over_contract(due, as_of) if strict else over_contract(due, as_of).limit(0))
     good = materialize(due.join(failures, "item_id", "left_anti"))
     analyses = materialize(analyze_items(good, lexicon))
     updates, joined = group_items(grouping_input(good, analyses), as_of, options, stored)
