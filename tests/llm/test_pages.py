@@ -113,6 +113,46 @@ def test_tree_matching_equals_the_plain_recurrence():
         assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
 
 
+def test_tree_matching_is_the_same_for_pages_of_any_size():
+    """Wide, nested and deep pages are matched by the recurrence as small ones are, with the first of equal partners."""
+    rng = random.Random(11)
+
+    def flat(n):
+        return "".join(rng.choice(["<p>x</p>", "<pre>y</pre>", "<ul><li>a</ul>", "<ul><li>a<li>b</ul>"]) for _ in range(n))
+
+    def rows(n):
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{rng.choice(['', 'x'])}" for _ in range(n)) for _ in range(n)) + "</table>"
+
+    made = [(flat(n), flat(m)) for n, m in [(90, 100), (150, 40), (20, 300)]] + [(rows(25), rows(24))]
+    made += [("<div>" * 200 + flat(6), "<div>" * 200 + flat(7)), (f"<div>{flat(80)}</div>" * 2, f"<div>{flat(70)}</div>" * 3)]
+    for one, other in made:
+        a, b = P.parse(one), P.parse(other)
+        P.measure(a), P.measure(b)
+        want, memo = plain_match(a[0], b[0]), {}
+        assert P._match(a[0], b[0], memo) == want
+        pairs = list(P.align(a[0], b[0], memo))
+        assert len(pairs) == want
+        assert sorted((x.at, y.at) for x, y in pairs) == sorted((x.at, y.at) for x, y in plain_pairs(a[0], b[0]))
+
+
+def plain_pairs(a, b):
+    """The pairs of the recurrence as it stands: from the end, what can be left out is left out, first on the left."""
+    yield a, b
+    table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + plain_match(x, y))
+    i, j = len(a.children), len(b.children)
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            yield from plain_pairs(a.children[i], b.children[j])
+
+
 NOTE = "This notice stands on every page of the host and says nothing."
 
 

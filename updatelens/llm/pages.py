@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -27,9 +29,6 @@ from updatelens.session import materialize
 LAYOUTS = 3  # layouts of a host that have a page to align with; pages of others are aligned with the nearest of these
 SHARE = 0.5  # share of a layout's different pages in which a template text stands, at least
 PAGES = 4  # number of different pages in which it stands, at least
-DEEP = 150  # levels that are aligned; what lies deeper is taken as varying
-CELLS = 4096  # pairs of children that are matched with one another between two that are surely the same
-WORK = 200_000  # pairs looked at for two pages; beyond, only children alone of their kind are paired
 HOT_ROWS = 1 << 16
 
 # Elements by their role in HTML.
@@ -265,12 +264,12 @@ def parse(source: str | None) -> list[Node]:
 
 
 def measure(nodes: list[Node]) -> None:
-    """Sizes, depths and digests of all subtrees, from the last node to the first."""
+    """Sizes, places and digests of the shapes (keys, without texts) of all subtrees, from the last node to the first."""
     held: dict[int, list[int]] = {}
     for node in reversed(nodes):
         below = held.pop(id(node), [])
         below.reverse()
-        node.digest = xxhash.xxh3_64_intdigest(f"{node.key}\x00{node.text}\x00{below}")
+        node.digest = xxhash.xxh3_64_intdigest(f"{node.key}\x00{below}")
         if node.parent is not None:
             held.setdefault(id(node.parent), []).append(node.digest)
             node.parent.size += node.size
@@ -308,94 +307,157 @@ def dense(nodes: list[Node]) -> Node:
 # --- tree matching --------------------------------------------------------------------------------------
 
 
-def _match(a: Node, b: Node, memo: dict, deep: int = 0) -> int:
-    """Simple tree matching: nodes of the largest common top-down tree with the order of children kept."""
-    if a.key != b.key:
-        return 0
-    if a.digest == b.digest:
-        return min(a.size, b.size)
-    if not a.children or not b.children or deep >= DEEP:
-        return 1
-    if a.size == 2 == b.size:
-        return 1 + (a.children[0].key == b.children[0].key)
-    found = memo.get((id(a), id(b)))
-    if found is None:
-        found = memo[id(a), id(b)] = 1 + sum(_match(x, y, memo, deep + 1) for x, y in _paired(a.children, b.children, memo, deep))
-    return found
-
-
-def _paired(left: list[Node], right: list[Node], memo: dict, deep: int) -> list[tuple[Node, Node]]:
-    """The children that a matching pairs. Children that occur once on both sides and are the same, in the longest
-    order both sides share, stay paired; those between them are matched by the recurrence."""
-    if len(left) * len(right) <= CELLS and memo.get("work", 0) <= WORK:
-        return _recurrence(left, right, memo, deep)
-    out, i0, j0 = [], 0, 0
-    for i, j in [*_alone([n.digest for n in left], [n.digest for n in right]), (len(left), len(right))]:
-        a, b = left[i0:i], right[j0:j]
-        if memo.get("work", 0) > WORK:
-            out += [(a[x], b[y]) for x, y in _alone([n.key for n in a], [n.key for n in b])]
-            a = []
-        while a and b:  # long gaps in pieces, in order
-            step = int(CELLS**0.5)
-            out += _recurrence(a[:step], b[:step], memo, deep)
-            a, b = a[step:], b[step:]
-        if i < len(left):
-            out.append((left[i], right[j]))
-        i0, j0 = i + 1, j + 1
+class Group:
+    """Nodes of two pages below the same path of keys, one of each shape, and the groups of their children by key.
+    ``scores`` tells how well every shape of the left matches every one of the right."""
+
+    __slots__ = ("left", "right", "base", "lists", "below", "scores")
+
+    def __init__(self, left: list[Node], right: list[Node]):
+        self.left, self.right = {n.digest: n for n in left}, {n.digest: n for n in right}
+        self.below: dict[str, Group] = {}
+        self.scores: dict[int, np.ndarray] = {}
+        # Nodes matched in any case, and the children to match of each node of the left and of the right.
+        self.base, self.lists = 1, ([n.children for n in self.left.values()], [n.children for n in self.right.values()])
+        if len(self.left) == 1 == len(self.right):
+            (a,), (b,) = self.left.values(), self.right.values()
+            same, own, others = _rest(a, b)
+            self.base, self.lists = 1 + sum(x.size for x, _ in same), ([own], [others])
+
+    def split(self) -> None:
+        own, others = map(_by_key, self.lists)
+        self.below = {key: Group(own[key], others[key]) for key in own if key in others}
+
+    def lone(self) -> bool:
+        """Whether there is one child on each side, so that the recurrence pairs these."""
+        return [[len(n) for n in side] for side in self.lists] == [[1], [1]]
+
+    def score(self) -> None:
+        """Simple tree matching of all pairs, when the groups below have their scores."""
+        left, right = self.lists
+        if not self.below:
+            self.scores = dict.fromkeys(self.left, np.full(len(right), self.base, np.int32))
+            return
+        if self.lone():
+            (group,) = self.below.values()
+            self.scores = {d: self.base + s for d, s in zip(self.left, group.scores.values())}
+            return
+        rows = Rows(right, self.below, 1 + max(n.size for n in self.left.values()))
+        for digest, children in zip(self.left, left):
+            row = rows.first
+            for x in children:
+                row = rows.next(row, x)
+            self.scores[digest] = (row[rows.ends] - rows.first[rows.ends] + self.base).astype(np.int32)
+
+
+class Rows:
+    """The table of the recurrence, row by row, for the children of several right nodes side by side: each has a column
+    for no child and one for each child that can be matched. Values of a node are ``apart`` from those of the next, so a
+    running maximum does not pass from one to the other."""
+
+    def __init__(self, right: list[list[Node]], below: dict[str, Group], apart: int):
+        first, ends, found = [], [], {key: ([], []) for key in below}
+        shapes = {key: {d: k for k, d in enumerate(g.right)} for key, g in below.items()}
+        for own, children in enumerate(right):
+            first.append(own * apart)
+            for y in children:
+                if y.key in found:
+                    found[y.key][0].append(len(first))
+                    found[y.key][1].append(shapes[y.key][y.digest])
+                    first.append(own * apart)
+            ends.append(len(first) - 1)
+        self.below, self.ends = below, np.array(ends)
+        self.found = {key: (np.array(places), np.array(of)) for key, (places, of) in found.items()}
+        self.first = np.array(first, np.int32 if apart * len(right) < 1 << 31 else np.int64)
+
+    def next(self, row: np.ndarray, x: Node) -> np.ndarray:
+        if x.key not in self.found:
+            return row
+        places, of = self.found[x.key]
+        out = row.copy()
+        out[places] = np.maximum(row[places], row[places - 1] + self.below[x.key].scores[x.digest][of])
+        return np.maximum.accumulate(out, out=out)
+
+
+def _by_key(lists: list[list[Node]]) -> dict[str, list[Node]]:
+    out: dict[str, list[Node]] = {}
+    for n in chain.from_iterable(lists):
+        out.setdefault(n.key, []).append(n)
     return out
 
 
-def _alone(left: list, right: list) -> list[tuple[int, int]]:
-    """Places of the values that occur once on both sides, in the longest order that both share."""
-    ones, others = Counter(left), Counter(right)
-    where = {v: j for j, v in enumerate(right) if others[v] == 1}
-    return _rising([(i, where[v]) for i, v in enumerate(left) if ones[v] == 1 and v in where])
-
-
-def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest part of ``pairs`` (ascending in the first) that is ascending in the second."""
-    ends: list[int] = []
-    last: list[int] = []
-    before: list[int] = []
-    for k, (_, j) in enumerate(pairs):
-        p = bisect_left(ends, j)
-        before.append(last[p - 1] if p else -1)
-        ends[p : p + 1], last[p : p + 1] = [j], [k]
-    out, k = [], last[-1] if last else -1
-    while k >= 0:
-        out.append(pairs[k])
-        k = before[k]
-    return out[::-1]
-
-
-def _recurrence(left: list[Node], right: list[Node], memo: dict, deep: int) -> list[tuple[Node, Node]]:
-    memo["work"] = memo.get("work", 0) + len(left) * len(right)
-    table = [[0] * (len(right) + 1)]
-    for x in left:
-        above, row = table[-1], [0]
-        for j, y in enumerate(right):
-            row.append(max(above[j + 1], row[j], above[j] + _match(x, y, memo, deep + 1)))
-        table.append(row)
+def _common(left: list[Node], right: list[Node]) -> tuple[list[Node], list[Node]]:
+    keys = {n.key for n in left} & {n.key for n in right}
+    return [n for n in left if n.key in keys], [n for n in right if n.key in keys]
+
+
+def _rest(a: Node, b: Node) -> tuple[list[tuple[Node, Node]], list[Node], list[Node]]:
+    """First children of equal shape, which the recurrence pairs in any case (none matches better, and of equals it takes
+    the first), and the children that are left. Those whose key the other side does not have are never paired."""
+    left, right = _common(a.children, b.children)
+    n = next((k for k, (x, y) in enumerate(zip(left, right)) if x.digest != y.digest), min(len(left), len(right)))
+    return list(zip(left[:n], right[:n])), *_common(left[n:], right[n:])
+
+
+def _matched(a: Node, b: Node, memo: dict) -> Group:
+    """The group of two roots with the scores of all groups below. Every pair of shapes at one path of keys is matched
+    once, whatever the pages' size: time grows with the product of such children, memory with that of such shapes."""
+    if (id(a), id(b)) not in memo:
+        groups = [Group([a], [b])]
+        for group in groups:  # grows by the groups below
+            group.split()
+            groups += group.below.values()
+        for group in reversed(groups):
+            group.score()
+        memo[id(a), id(b)] = groups[0]
+    return memo[id(a), id(b)]
+
+
+def _match(a: Node, b: Node, memo: dict) -> int:
+    """Simple tree matching: nodes of the largest common top-down tree with the order of children kept."""
+    return int(_matched(a, b, memo).scores[a.digest][0]) if a.key == b.key else 0
+
+
+def _paired(left: list[Node], right: list[Node], below: dict[str, Group]) -> list[tuple[Node, Node]]:
+    """The children that the recurrence pairs. Of its table one row in ``step`` is kept, those between are made again."""
+    if max(len(left), len(right)) <= 1:  # none, or one of the same key on each side
+        return list(zip(left, right))
+    rows = Rows([right], below, 0)
+    step = isqrt(len(left)) + 1
+    kept, row = [], rows.first
+    for i, x in enumerate(left):
+        if i % step == 0:
+            kept.append(row)
+        row = rows.next(row, x)
     i, j, pairs = len(left), len(right), []
-    while i and j:
-        if table[i][j] == table[i - 1][j]:
-            i -= 1
-        elif table[i][j] == table[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((left[i], right[j]))
+    while kept and j:
+        table, start = [kept.pop()], len(kept) * step
+        for x in left[start:i]:
+            table.append(rows.next(table[-1], x))
+        while i > start and j:
+            here, above = table[i - start], table[i - start - 1]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((left[i], right[j]))
     return pairs[::-1]
 
 
 def align(a: Node, b: Node, memo: dict) -> Iterator[tuple[Node, Node]]:
     """The pairs of nodes of a simple tree matching."""
-    todo = [(a, b, 0)]
+    todo = [(a, b, _matched(a, b, memo))]
     while todo:
-        x, y, deep = todo.pop()
+        x, y, group = todo.pop()
         yield x, y
-        if deep < DEEP:
-            todo += [(p, q, deep + 1) for p, q in _paired(x.children, y.children, memo, deep)]
+        if x.digest == y.digest:
+            todo += [(p, q, group) for p, q in zip(x.children, y.children)]
+            continue
+        same, left, right = _rest(x, y)
+        todo += [(p, q, group) for p, q in same]
+        todo += [(p, q, group.below[p.key]) for p, q in _paired(left, right, group.below)]
 
 
 # --- pages ------------------------------------------------------------------------------------------------
@@ -429,12 +491,13 @@ class Reader:
         best = -1
         if layouts and kept:
             trees = [self.tree(other) for other in layouts]
+            memo: dict = {}
             own = frame(source)
             best = next((k for k, (_, layout) in enumerate(trees) if layout == own), -1)
             if best < 0:  # the nearest of the others
-                scores = [_match(nodes[0], tree[0], {}) for tree, _ in trees]
+                scores = [_match(nodes[0], tree[0], memo) for tree, _ in trees]
                 best = scores.index(max(scores))
-            pairs = align(nodes[0], trees[best][0][0], {})
+            pairs = align(nodes[0], trees[best][0][0], memo)
             slots = {x.at: y.at for x, y in pairs if x.tag == "#"}
         blocks = [{"t": n.text, "s": slots.get(n.at, -1), "d": _digest(n.text)} for n in kept]
         longest = max((n.text for n in kept), key=len, default="")
@@ -524,7 +587,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     A null or empty page has an empty text. Pages without a host are those of one host. Repeated pages give equal rows;
     an empty table gives an empty result; other columns are not read. Pages of any length and depth are read
-    whole, each character once; only what lies deeper than ``DEEP`` elements is not aligned, so it stays.
+    whole, each character once, and aligned whole.
     """
     session(pages.sparkSession)
     rows = pages.select("page_id", "url", "html", _host("url").alias("host"), F.xxhash64("page_id", "url", "html").alias("h"))
