@@ -140,6 +140,12 @@ def fingerprints(docs: DataFrame, close: Closeness = Closeness()) -> DataFrame:
     return map_batches(rows, run, schema).withColumn("node", node)
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is shuffled, whatever its size: a table with a row for each node or
+    text grows with the input, and a broadcast would gather it in the driver."""
+    return df.hint("merge")
+
+
 def parts_for(rows: int, radius: int) -> int:
     """Into how many parts the bits are cut so that a tile meets about a tile's rows at this table size.
     A wide radius meets nearly all tiles however they are cut; then the bits stay whole."""
@@ -278,14 +284,16 @@ def links(distinct: DataFrame, close: Closeness) -> DataFrame:
     near = near.withColumn("tb", F.col("ta") + F.col("step"))
     other = tiles.select(F.col("tile").alias("tb"), F.col("chunks").alias("nb"))
     # A pair of tiles is told by its first tile and the step to the second.
-    pairs = near.join(other, "tb").withColumn("p", F.xxhash64("ta", "step")).select("ta", "tb", "na", "nb", "p")
+    # Whole bits give 65 tiles at most; those of parts grow with the rows.
+    side = F.broadcast if parts == 1 else _shuffled
+    pairs = near.join(side(other), "tb").withColumn("p", F.xxhash64("ta", "step")).select("ta", "tb", "na", "nb", "p")
     pairs = materialize(pairs)
     chunk = F.xxhash64("node", F.lit(1))
-    first = marked.join(pairs.withColumnRenamed("ta", "tile"), "tile").select(
+    first = marked.join(side(pairs.withColumnRenamed("ta", "tile")), "tile").select(
         "p", F.pmod(chunk, F.col("na")).cast("int").alias("ca"),
         F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("cb"), F.lit(0).alias("side"), *values,
     )
-    second = marked.join(pairs.withColumnRenamed("tb", "tile"), "tile").select(
+    second = marked.join(side(pairs.withColumnRenamed("tb", "tile")), "tile").select(
         "p", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ca"),
         F.pmod(chunk, F.col("nb")).cast("int").alias("cb"), F.lit(1).alias("side"), *values,
     )
@@ -306,7 +314,8 @@ def set_links(docs: DataFrame, prints: DataFrame, proposed: DataFrame, close: Cl
     many are cut into chunks, each pair of which is compared.
     """
     spark = session(docs.sparkSession)
-    chosen = prints.join(proposed, "node").groupBy("node", "root").agg(F.min(F.struct("digest", "doc_id")).alias("k"))
+    texts = prints.select("node", "digest", "doc_id").join(_shuffled(proposed), "node")
+    chosen = texts.groupBy("node", "root").agg(F.min(F.struct("digest", "doc_id")).alias("k"))
     chosen = materialize(chosen.select("k.digest", F.col("k.doc_id").alias("_first"), "node", "root"))
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
     rows = attach(rows, chosen, "digest", F.col("doc_id")).where("node IS NOT NULL AND doc_id <=> _first")
@@ -351,8 +360,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = materialize(up.select("node", F.least("node", "to").alias("root")))
         while True:
             above = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = up.join(above, "root", "left").select("node", "above", (F.col("above") != F.col("root")).alias("moved"))
-            jumped = materialize(jumped)
+            jumped = up.join(_shuffled(above), "root", "left")
+            jumped = materialize(jumped.select("node", "above", (F.col("above") != F.col("root")).alias("moved")))
             up = jumped.select("node", F.col("above").alias("root"))
             if jumped.where("moved").isEmpty():
                 break
@@ -361,11 +370,11 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             higher = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
             out = materialize(
-                out.join(higher, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+                out.join(_shuffled(higher), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
             )
         root_a = up.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         root_b = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        moved = edges.join(root_a, "a").join(root_b, "b").where("ra != rb")
+        moved = edges.join(_shuffled(root_a), "a").join(_shuffled(root_b), "b").where("ra != rb")
         edges = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if out is None:
         out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -382,12 +391,12 @@ def _named(docs: DataFrame, close: Closeness) -> tuple[DataFrame, DataFrame]:
     if close.share:
         roots = components(set_links(docs, prints, roots, close))
     roots = roots.withColumnRenamed("node", "_node")
-    linked = distinct.join(roots, distinct["node"] == roots["_node"], "left")
+    linked = distinct.join(_shuffled(roots), distinct["node"] == roots["_node"], "left")
     linked = linked.select("node", "first", F.coalesce("root", "node").alias("root"))
     # Written, so that the join below can split a component of many nodes.
     linked = materialize(linked)
     least = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id")))
-    return prints, materialize(linked.join(least, "root").select("node", "root", "component_id"))
+    return prints, materialize(linked.join(_shuffled(least), "root").select("node", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, close: Closeness = Closeness()) -> DataFrame:
@@ -398,7 +407,7 @@ def near_duplicates(docs: DataFrame, close: Closeness = Closeness()) -> DataFram
     empty table gives an empty result. Other columns are not read.
     """
     prints, named = _named(docs, close)
-    return prints.join(named, "node").select("doc_id", "fp", "component_id")
+    return prints.join(_shuffled(named), "node").select("doc_id", "fp", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
@@ -410,9 +419,9 @@ def first_of_each(docs: DataFrame, close: Closeness = SIMILAR) -> DataFrame:
     of equal ids that with the smaller digest of its text, of equal rows one. Texts without words are one component."""
     prints, named = _named(docs, close)
     place = F.struct(F.isnull("doc_id").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
-    kept = prints.join(named, "node").groupBy("root").agg(F.min(place).alias("k")).select("k.*")
+    kept = prints.join(_shuffled(named), "node").groupBy("root").agg(F.min(place).alias("k")).select("k.*")
     keys = unused(docs, "_none", "_id", "_digest")
     kept = kept.select(*[F.col(c).alias(k) for c, k in zip(("none", "id", "digest"), keys)]).distinct()
     own = (F.isnull("doc_id"), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text"))
     marked = docs.select("*", *[c.alias(k) for c, k in zip(own, keys)])
-    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return marked.join(_shuffled(kept), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
